@@ -71,3 +71,27 @@ def release() -> None:
 
 
 atexit.register(release)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per SparkContext.
+
+    The archive goes through Spark's own file distribution, so executors added later get it too.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_memq_shipped", False):
+        return
+    import io
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    path = Path(tempfile.mkdtemp(prefix="memq-")) / "memq.zip"
+    path.write_bytes(data.getvalue())
+    sc.addPyFile(str(path))
+    sc._memq_shipped = True
