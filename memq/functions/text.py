@@ -42,3 +42,8 @@ def value(c: Column | str) -> Column:
 def entity(c: Column | str) -> Column:
     """Lower-cased, each run of whitespace one blank, trimmed."""
     return F.trim(F.regexp_replace(F.lower(_c(c)), BLANK, " "))
+
+
+def strip(c: Column | str) -> Column:
+    """Without the whitespace at both ends."""
+    return F.regexp_replace(_c(c), f"^{BLANK}|{BLANK}$", "")

@@ -72,3 +72,33 @@ def question_facts(instances: DataFrame, targets: DataFrame, claims: DataFrame)
     found = as_known(per_probe, usable_claims(claims), ["ekey", "pred"], "asked_at", "ts", ["sid", "turn"], ["sid", "turn", "value"])
     counted = found.join(per_probe, ["ekey", "pred", "asked_at"])
     return salted_join(events, counted, ["ekey", "pred", "asked_at"], "n")
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[str], chunk: int = PERIOD) -> DataFrame:
+    """rows with ``place``, counted from 1 within the keys by ``order``, which begins with a time in seconds.
+
+    Counted per chunk of time first and shifted by the chunks before, so a hot key is spread over its chunks.
+    """
+    cut = rows.withColumn("__chunk", F.floor(F.col(order[0]) / chunk))
+    sizes = cut.groupBy(*keys, "__chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*keys, "__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shift"))
+    own = cut.withColumn("__own", F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy(*order)))
+    return own.join(shift, [*keys, "__chunk"]).withColumn("place", F.col("__own") + F.col("__shift")).drop("__own", "__shift", "__chunk")
+
+
+def tips(instances: DataFrame, targets: DataFrame, claims: DataFrame, limit: int = 5) -> DataFrame:
+    """(question_id, nth, line_no, ts): the newest ``limit`` claims about each question's subject said by then.
+
+    Strict: nothing later than the question. Ties go to the greater sid, turn, line. The newest
+    place is found by as_known(), the others are the places before it, so no pairs are made.
+    """
+    said = claims.select(text.entity("subj").alias("ekey"), "pred", "ts", "sid", "turn", "line_no").where("ekey is not null and pred is not null and ts is not null")
+    line = materialize(placed(said, ["ekey", "pred"], ["ts", "sid", "turn", "line_no"]).select("ekey", "pred", "ts", "line_no", "place"))
+    asked = instances.where("question_id is not null and asked_at is not null").select("question_id", "asked_at").distinct()
+    aims = targets.select("question_id", text.entity("subj").alias("ekey"), "pred").where("ekey is not null and pred is not null").distinct()
+    events = asked.join(aims, "question_id")
+    newest = as_known(events, line, ["ekey", "pred"], "asked_at", "ts", ["place"], ["place"])
+    wanted = newest.select("ekey", "pred", "asked_at", F.posexplode(F.sequence(F.col("place"), F.greatest(F.lit(1), F.col("place") - limit + 1), F.lit(-1))).alias("nth", "place"))
+    found = wanted.join(line, ["ekey", "pred", "place"])
+    return events.join(found, ["ekey", "pred", "asked_at"]).select("question_id", (F.col("nth") + 1).alias("nth"), "line_no", "ts")

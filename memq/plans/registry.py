@@ -1,7 +1,7 @@
 """All queries of the core."""
 
-from memq.plans import training
+from memq.plans import chains, memory, scalars, search, training
 
-_MODULES = (training,)
+_MODULES = (training, scalars, memory, chains, search)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

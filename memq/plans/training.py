@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from memq.operators import asof, delivery, history
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from memq.plans.common import entity
+from memq.plans.common import table as _t
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,13 +36,6 @@ def p6_facts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_history, p4_found, p4_exactly_once, p6_found, p6_facts)}
 
-BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
-def entity(c: str) -> str:
-    return f"trim(regexp_replace(lower({c}), '{BLANK}', ' ', 'g'))"
-
-
 def value(c: str) -> str:
     return rf"""nullif(array_to_string(list_sort(list_filter(list_transform(
   regexp_split_to_array(lower({c}), '[;|]'), lambda x: trim(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '')), ';'), '')"""
