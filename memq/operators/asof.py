@@ -31,32 +31,32 @@ def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts
     state = F.struct(F.col(ts).alias("ts"), *[c for c in dict.fromkeys([*order, *carry])])
     log = (
         changes.where(ok & F.col(ts).isNotNull())
-        .groupBy(*keys, F.col(ts).alias("at"))
-        .agg(F.max(state).alias("state"))
-        .withColumn("period", F.floor(F.col("at") / period))
+        .groupBy(*keys, F.col(ts).alias("__at"))
+        .agg(F.max(state).alias("__state"))
+        .withColumn("__period", F.floor(F.col("__at") / period))
     )
-    asked = probes.where(ok & F.col(at).isNotNull()).select(*keys, F.col(at).alias("at")).distinct().withColumn("period", F.floor(F.col("at") / period))
-    nothing = F.lit(None).cast(dict(log.dtypes)["state"])
-    closing = log.groupBy(*keys, "period").agg(F.max_by("state", "at").alias("state"))
-    before = Window.partitionBy(*keys).orderBy("period", "change").rowsBetween(Window.unboundedPreceding, 0)
-    periods = asked.select(*keys, "period").distinct()
+    asked = probes.where(ok & F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at")).distinct().withColumn("__period", F.floor(F.col("__at") / period))
+    nothing = F.lit(None).cast(dict(log.dtypes)["__state"])
+    closing = log.groupBy(*keys, "__period").agg(F.max_by("__state", "__at").alias("__state"))
+    before = Window.partitionBy(*keys).orderBy("__period", "__change").rowsBetween(Window.unboundedPreceding, 0)
+    periods = asked.select(*keys, "__period").distinct()
     snapshots = materialize(
-        closing.select(*keys, "period", F.lit(1).alias("change"), "state")
-        .unionByName(periods.select(*keys, "period", F.lit(0).alias("change"), nothing.alias("state")))
-        .withColumn("state", F.last("state", ignorenulls=True).over(before))
-        .where("change = 0 and state is not null")
-        .select(*keys, "period", "state")
+        closing.select(*keys, "__period", F.lit(1).alias("__change"), "__state")
+        .unionByName(periods.select(*keys, "__period", F.lit(0).alias("__change"), nothing.alias("__state")))
+        .withColumn("__state", F.last("__state", ignorenulls=True).over(before))
+        .where("__change = 0 and __state is not null")
+        .select(*keys, "__period", "__state")
     )
-    replay = Window.partitionBy(*keys, "period").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    replay = Window.partitionBy(*keys, "__period").orderBy("__at", "__step").rowsBetween(Window.unboundedPreceding, 0)
     rows = (
-        snapshots.select(*keys, "period", (F.col("period") * period).alias("at"), F.lit(0).alias("step"), "state")
-        .unionByName(log.join(periods, [*keys, "period"], "left_semi").select(*keys, "period", "at", F.lit(1).alias("step"), "state"))
-        .unionByName(asked.select(*keys, "period", "at", F.lit(2).alias("step"), nothing.alias("state")))
+        snapshots.select(*keys, "__period", (F.col("__period") * period).alias("__at"), F.lit(0).alias("__step"), "__state")
+        .unionByName(log.join(periods, [*keys, "__period"], "left_semi").select(*keys, "__period", "__at", F.lit(1).alias("__step"), "__state"))
+        .unionByName(asked.select(*keys, "__period", "__at", F.lit(2).alias("__step"), nothing.alias("__state")))
     )
     return (
-        rows.withColumn("state", F.last("state", ignorenulls=True).over(replay))
-        .where("step = 2 and state is not null")
-        .select(*keys, F.col("at").alias(at), "state.*")
+        rows.withColumn("__state", F.last("__state", ignorenulls=True).over(replay))
+        .where("__step = 2 and __state is not null")
+        .select(*keys, F.col("__at").alias(at), "__state.*")
     )
 
 

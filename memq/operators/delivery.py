@@ -25,12 +25,14 @@ def bucketed_storage(rows: DataFrame, id_col: str, order: str, at: str, buckets:
     Buckets are equal parts of the time range; a row without a time is in bucket -1. Repeats inside
     a bucket are combined before the shuffle, so no identifier has more than buckets + 1 rows.
     """
-    rows = rows.where(F.col(id_col).isNotNull()).withColumn(at, F.col(at).cast("timestamp"))
-    lo, hi, n = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at)), F.count("*")).first()
+    rows = rows.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(order).alias("order"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")
+    )
+    lo, hi, n = rows.agg(F.min("at"), F.max("at"), F.count("*")).first()
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.unix_micros(at) - F.lit(lo or 0)) / width), F.lit(-1)).cast("int")
+    bucket = F.coalesce(F.floor((F.col("at") - F.lit(lo or 0)) / width), F.lit(-1)).cast("int")
     blocks = max(1, -(-n // PER_BLOCK))
-    ids = rows.groupBy(bucket.alias("bucket"), F.col(id_col).alias("id")).agg(F.count("*").alias("n"), F.max(order).alias("last"))
+    ids = rows.groupBy(bucket.alias("bucket"), "id").agg(F.count("*").alias("n"), F.max("order").alias("last"))
     return materialize(ids.withColumn("block", F.pmod(F.xxhash64("id", F.lit(0)), F.lit(blocks)).cast("int")))
 
 
@@ -83,9 +85,10 @@ def copies(rows: DataFrame, id_col: str, order: str, at: str) -> DataFrame:
     Rows without an identifier are never copies. Of rows that tie in ``order`` none is a copy of
     the other. An empty table gives no rows.
     """
-    again = repeated_ids(bucketed_storage(rows, id_col, order, at)).withColumnRenamed("id", id_col)
-    both = salted_join(rows.where(F.col(id_col).isNotNull()).select(id_col, order), again, [id_col], "n")
-    return both.where(F.col(order) < F.col("last")).select(id_col, order)
+    again = repeated_ids(bucketed_storage(rows, id_col, order, at))
+    present = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(order).alias("order"))
+    older = salted_join(present, again, ["id"], "n").where(F.col("order") < F.col("last"))
+    return older.select(F.col("id").alias(id_col), F.col("order").alias(order))
 
 
 def exactly_once(rows: DataFrame, id_col: str, order: str, at: str) -> DataFrame:
