@@ -15,32 +15,32 @@ BROADCAST_ROWS = 200_000
 
 def _numbered(distinct: DataFrame) -> DataFrame:
     """Integer identifiers; written out, so that they stay the same when a task is repeated."""
-    return materialize(distinct.withColumn("id", F.monotonically_increasing_id()))
+    return materialize(distinct.withColumn("__id", F.monotonically_increasing_id()))
 
 
 def dictionary(rows: DataFrame, column: str, parts: Column) -> DataFrame:
-    """(column, ids, n): each distinct value canonicalised once into an array of parts, each part an integer.
+    """(column, __ids, __n): each distinct value canonicalised once into an array of parts, each part an integer.
 
     ``parts`` is an expression over ``column`` that gives an array of strings; the identifiers of a
     value are sorted, so the order of parts does not matter, while repeated parts count. A value
     that is null or whose array is null or empty is left out.
     """
     values = (
-        rows.groupBy(column).agg(F.count("*").alias("n")).withColumn("parts", parts).where(F.col(column).isNotNull() & (F.size("parts") > 0))
+        rows.groupBy(column).agg(F.count("*").alias("__n")).withColumn("__parts", parts).where(F.col(column).isNotNull() & (F.size("__parts") > 0))
     )
     numbered = _numbered(values)
-    each = numbered.select("id", F.explode("parts").alias("part"))
-    parts_ids = _numbered(each.groupBy("part").agg(F.count("*").alias("uses"))).withColumnRenamed("id", "part_id")
-    few = small_side(parts_ids.drop("uses"), BROADCAST_ROWS)
-    joined = each.join(few, "part") if few is not None else salted_join(each, parts_ids, ["part"], "uses")
-    ids = joined.groupBy("id").agg(F.array_sort(F.collect_list("part_id")).alias("ids"))
-    return materialize(numbered.drop("parts").join(ids, "id").select(column, "ids", "n"))
+    each = numbered.select("__id", F.explode("__parts").alias("__part"))
+    parts_ids = _numbered(each.groupBy("__part").agg(F.count("*").alias("__uses"))).withColumnRenamed("__id", "__part_id")
+    few = small_side(parts_ids.drop("__uses"), BROADCAST_ROWS)
+    joined = each.join(few, "__part") if few is not None else salted_join(each, parts_ids, ["__part"], "__uses")
+    ids = joined.groupBy("__id").agg(F.array_sort(F.collect_list("__part_id")).alias("ids"))
+    return materialize(numbered.drop("__parts").join(ids, "__id").select(column, F.col("ids").alias("__ids"), "__n"))
 
 
 def _encode(rows: DataFrame, column: str, code: str, words: DataFrame, how: str) -> DataFrame:
-    words = words.withColumnRenamed("ids", code)
-    few = small_side(words.drop("n"), BROADCAST_ROWS)
-    out = rows.join(few, column, how) if few is not None else salted_join(rows, words, [column], "n", how)
+    words = words.withColumnRenamed("__ids", code)
+    few = small_side(words.drop("__n"), BROADCAST_ROWS)
+    out = rows.join(few, column, how) if few is not None else salted_join(rows, words, [column], "__n", how)
     return out.drop(column)
 
 
