@@ -22,17 +22,17 @@ def salted_join(
     list of keys alone, at most HEAVY rows whatever the input. No row is dropped; the choice of
     keys affects only the layout. Null keys match nothing. Column ``n`` is not in the result.
     """
+    names = [f"__salted_key_{i}" for i in range(len(keys))]
     heavy = (
         unique.where(F.col(n) > per_task)
         .orderBy(F.col(n).desc())
         .limit(HEAVY)
-        .select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col(n) / per_task).cast("int").alias("__salts"))
+        .select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.ceil(F.col(n) / per_task).cast("int").alias("__salts"))
     )
-    on = [F.col(k) == F.col(f"__{k}") for k in keys]
-    drop = [f"__{k}" for k in keys]
+    on = [F.col(k) == F.col(a) for k, a in zip(keys, names)]
 
     def with_salts(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(heavy), on, "left").drop(*drop).withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+        return df.join(F.broadcast(heavy), on, "left").drop(*names).withColumn("__salts", F.coalesce("__salts", F.lit(1)))
 
     others = [c for c in rows.columns if c not in keys] or keys
     left = with_salts(rows).withColumn("__salt", F.pmod(F.xxhash64(*others), F.col("__salts")).cast("int")).drop("__salts")

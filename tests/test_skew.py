@@ -12,6 +12,14 @@ def test_salted_join_keeps_every_row(spark):
     assert set(out.columns) == {"k", "v", "w"}
 
 
+def test_names_with_underscores(spark):
+    rows = spark.createDataFrame([(1, 2)], "k int, __k int")
+    unique = spark.createDataFrame([(1, 5, 9)], "k int, n int, __w int")
+    assert salted_join(rows, unique, ["k"], "n").collect() == [(1, 2, 9)]
+    unique = spark.createDataFrame([(1, 5, 9)], "k int, n int, __k2 int").withColumnRenamed("__k2", "__v")
+    assert salted_join(rows.withColumnRenamed("__k", "__v2"), unique, ["k"], "n").collect() == [(1, 2, 9)]
+
+
 def test_left_join_and_null_keys(spark):
     rows = spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "k int, v int")
     unique = spark.createDataFrame([(1, 5, "a")], "k int, n int, w string")
