@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from memq.functions import keys, report, timeparse
 
 TURN = "struct<role:string,content:string,has_answer:boolean>"
-RAW = T.StructType.fromDDL(
+RAW = (
     "question_id string, question_type string, question string, answer string, question_date string, haystack_dates array<string>, "
     f"haystack_session_ids array<string>, haystack_sessions array<array<{TURN}>>, answer_session_ids array<string>"
 )

@@ -9,14 +9,14 @@ from pyspark.sql import types as T
 from memq.operators.memory import last_rows
 
 CLAIMS = "array<struct<turn:int,subject:string,predicate:string,object:string,kind:string,cardinality:string>>"
-CACHE = T.StructType.fromDDL(f"sid string, status string, claims {CLAIMS}, drops map<string,bigint>, turns int, prompt_version int, reason string, at double")
-CHECKPOINT = T.StructType.fromDDL("event string, sid string, at double")
-PROBE = T.StructType.fromDDL(
+CACHE = f"sid string, status string, claims {CLAIMS}, drops map<string,bigint>, turns int, prompt_version int, reason string, at double"
+CHECKPOINT = "event string, sid string, at double"
+PROBE = (
     "report array<struct<check:string,ok:boolean,error:string,detail:string,note:string>>, checks array<struct<name:string,verdict:string,detail:string,query:string>>"
 )
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType, key: str | None = None) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
     """Rows of a JSON-lines log with line_no, in file order; blank and broken lines are skipped.
 
     A half-written last line is such a line. With ``key`` the last line of each key wins. Lines are
@@ -28,14 +28,14 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, key: str | No
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"),
     )
     text = spark.read.text(path).select("value", place.alias("line_no"))
-    corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    corrupt = f"{schema}, _corrupt string"
     parsed = text.where(F.trim("value") != "").select("line_no", F.from_json("value", corrupt, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     good = parsed.where("r is not null and r._corrupt is null")
-    rows = good.select("line_no", *[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
+    rows = good.select("line_no", *[F.col(f"r.{f.name}").alias(f.name) for f in T.StructType.fromDDL(schema).fields])
     return last_rows(rows, [key], "line_no") if key else rows
 
 
-def read_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As read_log() but any broken line fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
