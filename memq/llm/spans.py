@@ -100,8 +100,8 @@ def anchors(docs: DataFrame, key: str, text: str, span: int, anchor: int) -> Dat
 
 
 def windows(docs: DataFrame, key: str, text: str, wanted: DataFrame, span: int) -> DataFrame:
-    """(print, doc, at, asks): fingerprints of the windows of the wanted (doc, span, asks)."""
-    schema = pa.schema([("print", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("asks", pa.int64())])
+    """(print, doc, place): fingerprints of the windows of the wanted (doc, span, asks); place is twice the position plus asks."""
+    schema = pa.schema([(n, pa.int64()) for n in ("print", "doc", "place")])
     lists = materialize(wanted.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.collect_list("asks").alias("asks")))
     few = small_side(lists, BROADCAST_ROWS)
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), text).join(lists if few is None else few, "doc")
@@ -114,11 +114,11 @@ def windows(docs: DataFrame, key: str, text: str, wanted: DataFrame, span: int)
                 for s, ask in zip(spans, asks):
                     first, last = s >> 32, s & 0xFFFFFFFF
                     w = prints.windows(span, first, last + 1)
-                    for n, v in zip(schema.names, (w, np.full(len(w), doc, np.int64), np.arange(first, last + 1), np.full(len(w), ask, np.int64))):
+                    for n, v in zip(schema.names, (w, np.full(len(w), doc, np.int64), (np.arange(first, last + 1) << 1) | ask)):
                         out[n].append(v)
             yield _batch(out, schema)
 
-    return rows.mapInArrow(run, "print bigint, doc bigint, at bigint, asks bigint")
+    return rows.mapInArrow(run, "print bigint, doc bigint, place bigint")
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
@@ -136,38 +136,38 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     texts share nothing.
     """
     occurrences = materialize(anchors(docs, key, text, span, anchor))
-    by_block = occurrences.groupBy("anchor", "block").agg(
-        F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "span")).alias("rep"), F.count("*").alias("n")
+    shared = materialize(
+        occurrences.groupBy("anchor").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n")).where("d0 != d1").select("anchor", "n")
     )
-    by_anchor = (
-        by_block.groupBy("anchor")
-        .agg(F.min("d0").alias("a0"), F.max("d1").alias("a1"), F.count("*").alias("blocks"))
-        .where("a0 != a1")
-        .select("anchor", (F.col("blocks") > 1).alias("differ"), F.col("blocks").alias("m"))
-    )
-    marked = materialize(
-        salted_join(by_block, by_anchor, ["anchor"], "m").select("anchor", "block", (F.col("d0") != F.col("d1")).alias("whole"), "differ", "rep", "n")
-    )
-    few = small_side(marked.select("anchor", "block", "whole"), BROADCAST_ROWS)
+    few = small_side(shared.select("anchor"), BROADCAST_ROWS)
+    hits = materialize(occurrences.join(few, "anchor") if few is not None else salted_join(occurrences, shared, ["anchor"], "n"))
     keys = ["anchor", "block"]
-    hits = materialize(
-        occurrences.join(few, keys) if few is not None else salted_join(occurrences, marked.select(*keys, "whole", "n"), keys, "n")
+    by_block = materialize(
+        hits.groupBy(*keys).agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min_by("span", F.struct("doc", "span")).alias("span"), F.count("*").alias("n"))
     )
-    whole = hits.where("whole").select("doc", F.shiftright("span", 32).alias("from_at"), (F.col("span").bitwiseAND(0xFFFFFFFF) + span).alias("to_at"))
-    wanted = (
-        hits.where("not whole")
-        .select("doc", "span", F.lit(1).cast("bigint").alias("asks"))
-        .unionByName(marked.where("whole and differ").select("rep.doc", "rep.span", F.lit(0).cast("bigint").alias("asks")))
+    by_anchor = by_block.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    whole = by_block.where("d0 != d1").select(*keys, "n")
+    few = small_side(whole.select(*keys), BROADCAST_ROWS)
+    full = hits.join(few, keys) if few is not None else salted_join(hits, whole, keys, "n")
+    ranges = full.select("doc", F.shiftright("span", 32).alias("from_at"), (F.col("span").bitwiseAND(0xFFFFFFFF) + span).alias("to_at"))
+    # a block of one document asks; one occurrence of a block of several is there to be compared with
+    alone = by_block.where("d0 = d1").select(*keys, "n")
+    few = small_side(alone.select(*keys), BROADCAST_ROWS)
+    asking = hits.join(few, keys) if few is not None else salted_join(hits, alone, keys, "n")
+    compared = salted_join(whole.join(by_block.select(*keys, "d0", "span"), keys).drop("n"), by_anchor, ["anchor"], "m")
+    wanted = asking.select("doc", "span", F.lit(1).cast("bigint").alias("asks")).unionByName(
+        compared.select(F.col("d0").alias("doc"), "span", F.lit(0).cast("bigint").alias("asks"))
     )
     found = materialize(windows(docs, key, text, wanted, span))
     again = (
         found.groupBy("print")
-        .agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.sum("asks").alias("n"))
-        .where("d0 != d1 and n > 0")
+        .agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n"))
+        .where("d0 != d1")
         .select("print", "n")
     )
-    edges = salted_join(found.where("asks = 1").select("print", "doc", "at"), again, ["print"], "n")
-    return whole.unionByName(edges.select("doc", F.col("at").alias("from_at"), (F.col("at") + span).alias("to_at")))
+    edges = salted_join(found.where("place % 2 = 1"), again, ["print"], "n")
+    at = F.shiftright("place", 1)
+    return ranges.unionByName(edges.select("doc", at.alias("from_at"), (at + span).alias("to_at")))
 
 
 def shared_chars(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
