@@ -37,7 +37,7 @@ def _atoms(text: str, start: int, end: int, level: int, limit: int, most: int, o
         while end - start > most:
             cut = start + most
             for _ in range(16):  # not inside a character with its marks and joiners
-                if cut < end and (unicodedata.combining(text[cut]) or text[cut] in "‍️" or text[cut - 1] == "‍"):
+                if start + most // 2 < cut < end and (unicodedata.combining(text[cut]) or text[cut] in "‍️" or text[cut - 1] == "‍"):
                     cut -= 1
             out.append((cut, "character", hard))
             start = cut
