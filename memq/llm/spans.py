@@ -161,8 +161,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     found = materialize(windows(docs, key, text, wanted, span))
     again = (
         found.groupBy("print")
-        .agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n"))
-        .where("d0 != d1")
+        .agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.col("place") % 2).alias("asks"), F.count("*").alias("n"))
+        .where("d0 != d1 or asks = 0")  # a window that need not ask lies in two documents, one of which may be the asking one
         .select("print", "n")
     )
     edges = salted_join(found.where("place % 2 = 1"), again, ["print"], "n")
