@@ -44,6 +44,12 @@ def salted_join(
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
-def small_side(df: DataFrame, most: int = 10_000) -> DataFrame | None:
-    """df marked for broadcast if it has at most ``most`` rows, checked by a job that stops there; else None."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else None
+def small_side(df: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame | None:
+    """df marked for broadcast if it has at most ``most`` rows and ``most_bytes`` bytes of text and arrays; else None.
+
+    The job that checks stops reading after ``most`` + 1 rows.
+    """
+    wide = [F.octet_length(c) if t in ("string", "binary") else F.size(c) * 8 for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)).cast("bigint")
+    n, total = df.select(size.alias("size")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= most_bytes else None

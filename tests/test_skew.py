@@ -30,3 +30,6 @@ def test_left_join_and_null_keys(spark):
 def test_small_side_is_checked(spark):
     assert small_side(spark.range(5), 5) is not None
     assert small_side(spark.range(6), 5) is None
+    text = spark.createDataFrame([("a" * 50, [1, 2]), (None, None)], "s string, a array<bigint>")
+    assert small_side(text, 5, 66) is not None
+    assert small_side(text, 5, 65) is None
