@@ -10,7 +10,7 @@ from memq.operators.skew import salted_join, small_side
 from memq.session import materialize
 
 #: A dictionary of up to so many distinct values is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 
 
 def _numbered(distinct: DataFrame) -> DataFrame:
@@ -37,11 +37,10 @@ def dictionary(rows: DataFrame, column: str, parts: Column) -> DataFrame:
     return materialize(numbered.drop("__parts").join(ids, "__id").select(column, F.col("ids").alias("__ids"), "__n"))
 
 
-def _encode(rows: DataFrame, column: str, code: str, words: DataFrame, how: str) -> DataFrame:
-    words = words.withColumnRenamed("__ids", code)
-    few = small_side(words.drop("__n"), BROADCAST_ROWS)
-    out = rows.join(few, column, how) if few is not None else salted_join(rows, words, [column], "__n", how)
-    return out.drop(column)
+def plain_dictionary(rows: DataFrame, column: str) -> DataFrame:
+    """(column, __ids, __n): each distinct value that is not null with an integer of its own."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    return _numbered(counts).select(column, F.array("__id").alias("__ids"), "__n")
 
 
 def encode(rows: DataFrame, key: str, same: list[str], loose: dict[str, Column], required: list[str]) -> DataFrame:
@@ -50,26 +49,32 @@ def encode(rows: DataFrame, key: str, same: list[str], loose: dict[str, Column],
     ``same`` columns must be equal as they are, null equal to null; numbers are their own
     integers, strings are dictionary-encoded. ``loose`` columns are equal if their parts are. Rows
     whose ``required`` loose columns have no parts are left out; other values without parts are
-    equal to each other, but null differs from a text without words.
+    equal to each other, but null differs from a text without words. Columns with a small
+    dictionary are rewritten first, so that what is shuffled for the others is narrow.
     """
     kinds = dict(rows.dtypes)
-    slots: list[Column] = []
-    rows = rows.select(key, *same, *loose)
-    strings = [c for c in same if kinds[c] == "string"]
-    for c, parts in loose.items():
-        rows = rows.withColumn(f"__{c}_null", F.col(c).isNull().cast("bigint"))
-        rows = _encode(rows, c, f"__{c}", dictionary(rows, c, parts), "inner" if c in required else "left")
-        # a length before each tuple keeps neighbouring ones apart
-        ids = F.coalesce(f"__{c}", F.array().cast("array<bigint>"))
-        slots += [F.array(F.col(f"__{c}_null"), F.size(ids).cast("bigint")), ids]
+    source = rows.select(key, *same, *loose)
+    words = {c: dictionary(source, c, parts) for c, parts in loose.items()}
+    words |= {c: plain_dictionary(source, c) for c in same if kinds[c] == "string"}
+    small = {c: small_side(w.drop("__n"), BROADCAST_ROWS) for c, w in words.items()}
+    out = source
+    for c in sorted(words, key=lambda c: small[c] is None):
+        how = "inner" if c in required else "left"
+        own = words[c] if small[c] is None else small[c]
+        if c in loose:  # its parts behind their number, which keeps neighbouring columns apart
+            number = F.when(F.col(c).isNull(), -1).otherwise(F.coalesce(F.size("__ids"), F.lit(0))).cast("bigint")
+            code = F.concat(F.array(number), F.coalesce("__ids", F.array().cast("array<bigint>")))
+        else:
+            code = F.coalesce(F.get("__ids", F.lit(0)), F.lit(-1).cast("bigint"))
+        out = salted_join(out, own, [c], "__n", how) if small[c] is None else out.join(own, c, how)
+        out = out.withColumn(f"__code_{c}", code).drop(c, "__ids")
+    single: list[Column] = []
     for c in same:
-        if c in strings:
-            rows = rows.withColumn(f"__{c}_null", F.col(c).isNull().cast("bigint"))
-            rows = _encode(rows, c, f"__{c}", dictionary(rows, c, F.array(F.col(c))), "left")
-            slots.append(F.array(F.col(f"__{c}_null"), F.coalesce(F.col(f"__{c}")[0], F.lit(0).cast("bigint"))))
+        if c in words:
+            single.append(F.col(f"__code_{c}"))
         else:
-            slots.append(F.array(F.col(c).isNull().cast("bigint"), F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))))
-    return materialize(rows.select(key, F.concat(*slots).alias("tuple")))
+            single += [F.col(c).isNull().cast("bigint"), F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))]
+    return materialize(out.select(key, F.concat(F.array(*single), *[F.col(f"__code_{c}") for c in loose]).alias("tuple")))
 
 
 def collapse(encoded: DataFrame, key: str) -> DataFrame:
