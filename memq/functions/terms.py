@@ -54,10 +54,14 @@ def explode_terms(df: DataFrame, c: Column | str, name: str = "term", stemming:
     return t.withColumn(name, F.expr(stem_sql(f"`{name}`"))) if stemming else t
 
 
+def kept_tokens(c: Column | str) -> Column:
+    """The tokens that are no stopwords, as an array, not stemmed."""
+    return F.filter(raw_tokens(c), lambda w: ~w.isin(STOPWORDS))
+
+
 def terms(c: Column | str, stemming: bool = True) -> Column:
     """The terms of a text as an array."""
-    kept = F.filter(raw_tokens(c), lambda w: ~w.isin(STOPWORDS))
-    return F.transform(kept, _stem) if stemming else kept
+    return F.transform(kept_tokens(c), _stem) if stemming else kept_tokens(c)
 
 
 def _stem(w: Column) -> Column:

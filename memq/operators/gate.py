@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,37 +20,37 @@ class EmbeddingGate:
         raise NotImplementedError("no embedding backend is installed; use index() and search()")
 
 
-def index(docs: DataFrame, key: str, text, stemming: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(postings, lengths, frequencies, corpus) of documents with unique keys.
+def index(docs: DataFrame, key: str, text: Column, stemming: bool = True) -> tuple[DataFrame, DataFrame, int, float]:
+    """(postings, frequencies, n, avg_len) of documents with unique keys.
 
-    postings (term, key, tf), lengths (key, len) with 0 for a document without terms, frequencies
-    (term, df), corpus one row (n, avg_len). Statistics are over all documents.
+    postings (term, key, len, tf), where len counts all terms of the document; frequencies (term,
+    df). A document without terms has no posting but counts in n and avg_len. Statistics are over
+    all documents. Documents and postings are written out once and read by every search.
     """
-    each = terms.explode_terms(docs.select(F.col(key).alias("key"), text.alias("__text")), "__text", stemming=stemming)
-    postings = materialize(each.groupBy("term", "key").agg(F.count("*").alias("tf")))
-    counted = postings.groupBy("key").agg(F.sum("tf").alias("len"))
-    lengths = docs.select(F.col(key).alias("key")).join(counted, "key", "left").select("key", F.coalesce("len", F.lit(0)).alias("len"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    return postings, lengths, frequencies, corpus
+    base = materialize(docs.select(F.col(key).alias("key"), text.alias("text")))
+    tokens = base.select("key", terms.kept_tokens("text").alias("tokens"))
+    each = tokens.select("key", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    stemmed = each.withColumn("term", F.expr(terms.stem_sql("term"))) if stemming else each
+    postings = materialize(stemmed.groupBy("term", "key", "len").agg(F.count("*").alias("tf")))
+    n, total = base.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), n, total / n if n else 0.0
 
 
-def contributions(questions: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame, DataFrame], qkey: str, qtext, stemming: bool = True) -> DataFrame:
+def contributions(questions: DataFrame, parts: tuple[DataFrame, DataFrame, int, float], qkey: str, qtext: Column, stemming: bool = True) -> DataFrame:
     """(q, key, term, contrib): what each term of a question adds to a document's score, rounded to 9 places.
 
-    A question's terms are a set. Postings of a term that holds a large share of the rows are
-    salted; the one row of corpus statistics is read by the driver.
+    A question's terms are a set. Only postings of terms that some question has are scored;
+    postings of a term that holds a large share of the rows are salted.
     """
-    postings, lengths, frequencies, corpus = parts
-    n, avg = corpus.first()
+    postings, frequencies, n, avg = parts
     asked = terms.explode_terms(questions.select(F.col(qkey).alias("q"), qtext.alias("__text")), "__text", stemming=stemming).select("q", "term").distinct()
     df = F.col("df")
     weight = F.greatest(F.lit(0.0), F.log(F.lit(1.0) + (F.lit(float(n)) - df + 0.5) / (df + 0.5)))
     wanted = frequencies.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", weight)
-    found = salted_join(postings, wanted, ["term"], "df").join(lengths, "key")
     tf = F.col("tf").cast("double")
     norm = F.greatest(F.col("len"), F.lit(1)) / F.lit(float(avg or 1.0))
-    scored = found.select("term", "key", F.round(F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * norm)), 9).alias("contrib"))
+    contrib = F.round(F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * norm)), 9)
+    scored = salted_join(postings, wanted, ["term"], "df").select("term", "key", contrib.alias("contrib"))
     return asked.join(scored, "term").where("contrib > 0").select("q", "key", "term", "contrib")
 
 

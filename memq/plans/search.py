@@ -26,8 +26,7 @@ def _contribs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
-    _, (_, _, frequencies, corpus) = _index(spark, d)
-    n, avg = corpus.first()
+    _, (_, frequencies, n, avg) = _index(spark, d)
     return frequencies.withColumns({"n": F.lit(n), "avg_len": F.round(F.lit(avg), 6)})
 
 
