@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memq.functions import text
 from memq.operators import asof, chains
 from memq.plans.common import LATEST_CLAIMS, entity, latest_claims, normal_object, table
 
@@ -91,10 +92,23 @@ def ordered_page(spark: SparkSession, d: str) -> DataFrame:
     return latest_claims(spark, d).select("nkey", "ts").orderBy("nkey").offset(100).limit(50)
 
 
+def chain_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One row: links, claims, entities and how predicates resolved."""
+    c = latest_claims(spark, d)
+    one = F.lit(1).alias("one")
+    links = chains.supersedes(c).agg(F.count("*").alias("links"), one)
+    said = c.agg(F.count("*").alias("claims"), F.countDistinct(text.entity("subj")).alias("entities"), one)
+    votes = chains.predicate_cardinality(c).agg(
+        F.count_if(F.col("resolved") == "one").alias("single_valued"), F.count_if(F.col("resolved") == "many").alias("accumulating"),
+        F.count_if((F.col("one") > 0) & (F.col("many") > 0)).alias("disputed"), one,
+    )
+    return links.join(said, "one").join(votes, "one").drop("one")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        predicate_cardinality, predicate_disputes, supersedes_links, chain_walk, chain_terminal, chain_paths, two_hops, optional_chain,
+        chain_summary, predicate_cardinality, predicate_disputes, supersedes_links, chain_walk, chain_terminal, chain_paths, two_hops, optional_chain,
         tip_asof, hop_statement, hop_reverse, property_filters, union_distinct, ordered_page,
     )
 }
@@ -112,6 +126,9 @@ w as (select later as start, 1 as hop, earlier as node from links union all
   select w.start, w.hop + 1, l.earlier from w join links l on l.later = w.node where w.hop < @n@)"""
 
 SQL = {
+    "chain_summary": f"""with {LINKS} select (select count(*) from links) as links, (select count(*) from claims0) as claims,
+  (select count(distinct {entity("subj")}) from claims0) as entities, count(*) filter (where many = 0 and one > 0) as single_valued,
+  count(*) filter (where not (many = 0 and one > 0)) as accumulating, count(*) filter (where one > 0 and many > 0) as disputed from votes""",
     "predicate_cardinality": f"with {_VOTES.format(t='claims')} select *, case when many = 0 and one > 0 then 'one' else 'many' end as resolved from votes",
     "predicate_disputes": f"with {_VOTES.format(t='claims')} select * from votes where one > 0 and many > 0",
     "supersedes_links": f"with {LINKS} select later, earlier from links",

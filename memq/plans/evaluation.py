@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memq.functions import report, terms, timeparse
-from memq.operators import evaluate, gate, memory
+from memq.operators import answering, evaluate, gate, memory
 from memq.plans.common import EVERY, LATEST_ANSWERS, LATEST_CLAIMS, latest_answers, latest_claims, strip, table
 from memq.plans.memory import _SLOTS
 from memq.plans.scalars import terms_sql
@@ -125,6 +125,18 @@ def judge_pilot(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).select("question_id", "line_no", first.alias("first")).orderBy(F.col("first").desc(), "line_no").limit(25)
 
 
+def first_misses(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten answerable questions, by line, whose evidence missed every gold session. The limit is the feature."""
+    rows = _runs(spark, d).where("not is_abstention and not hit")
+    return rows.select("line_no", "question_id", "question_type", "cited").orderBy("line_no").limit(10)
+
+
+def no_memory_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes when every question is asked with no evidence at all: nothing can be answered."""
+    asked = table(spark, d, "instances").select(F.col("question_id").alias("q")).distinct()
+    return answering.free_outcome(asked.select("q", F.lit(0).alias("hits"), F.lit(0).alias("kept"))).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
 def inspector_rows(spark: SparkSession, d: str) -> DataFrame:
     """One record per question; a question without a verdict is unjudged, never left out."""
     a = latest_answers(spark, d).select("question_id", "asked_at", "question")
@@ -141,7 +153,7 @@ QUERIES = {
     for f in (
         score_retrieval, score_by_type, retrieval_drops, status_counts, recall_by_type, judge_free, judge_stub, tally, tally_by_type, abstention,
         report_headline, report_regimes, date_audit, offset_buckets, diagnose_misses, diagnose_refusals, stratified_sample, done_ids, todo_ids,
-        run_mix, judge_pilot, inspector_rows,
+        run_mix, judge_pilot, first_misses, no_memory_baseline, inspector_rows,
     )
 }
 
@@ -233,6 +245,8 @@ from judged where kind in ('false_refusal', 'retrieval_miss') group by 1""",
     "todo_ids": f"with {_RUNS} select distinct question_id from instances where question_id not in (select question_id from runs where coalesce(status <> 'unmeasured', true))",
     "run_mix": f"with {_RUNS} select case when is_abstention then 'abstention' else question_type end as stratum, status, count(*) as n from runs group by 1, 2",
     "judge_pilot": f"with {_RUNS} select question_id, line_no, (not is_abstention and status = 'answered')::int as first from runs order by first desc, line_no limit 25",
+    "first_misses": f"with {_RUNS} select line_no, question_id, question_type, cited from runs where not is_abstention and not hit order by line_no limit 10",
+    "no_memory_baseline": f"select 'absent' as status, '{answering.NO_MATCH}' as reason, count(distinct question_id) as n from instances having count(*) > 0",
     "inspector_rows": f"""with {_STUB} select question_id as id, j.question_type, coalesce(question, '') as question,
   coalesce(strftime(to_timestamp(asked_at) at time zone 'UTC', '%Y-%m-%d'), '') as at, j.status, verdict, kind, cited, gold_hits
 from answers0 join judged j using (question_id)""",

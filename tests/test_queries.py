@@ -32,7 +32,7 @@ def empty(spark, small, tmp_path_factory):
 
 #: Queries that are one row of counts whatever the input.
 ONE_ROW = {
-    "score_retrieval", "retrieval_drops", "tally", "abstention", "report_headline", "dataset_stats", "turns_per_session", "out_of_order", "property_filters",
+    "score_retrieval", "retrieval_drops", "tally", "abstention", "report_headline", "dataset_stats", "turns_per_session", "out_of_order", "property_filters", "chain_summary",
 }
 
 
