@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from memq.operators.skew import salted_join
 from memq.session import materialize
 
-#: Time buckets of a batch, bits of one filter block, bits set per identifier, identifiers per block.
-BUCKETS, BLOCK, PROBES, PER_BLOCK = 16, 32_768, 4, 2_048
+#: Time buckets of a batch, bits of one filter block, bits set per identifier, identifiers of all buckets per block.
+#: Evenly spread over the buckets they leave 64 bits for each; all in one bucket 4, with more to verify but nothing lost.
+BUCKETS, BLOCK, PROBES, PER_BLOCK = 16, 32_768, 4, 8_192
 
 
 def _bits(id_col: str) -> list[Column]:
