@@ -33,8 +33,8 @@ def runs(answers: DataFrame) -> DataFrame:
         "gold",
         "reason",
         F.size(gold).alias("gold_n"),
-        F.size(sessions).alias("cited"),
-        F.size(F.filter(sessions, lambda s: F.coalesce(F.array_contains(gold, s), F.lit(False)))).alias("gold_hits"),
+        F.size(sessions).cast("bigint").alias("cited"),
+        F.size(F.filter(sessions, lambda s: F.coalesce(F.array_contains(gold, s), F.lit(False)))).cast("bigint").alias("gold_hits"),
         gold_cited().alias("hit"),
         "retrieval",
     )

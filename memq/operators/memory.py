@@ -45,7 +45,7 @@ def statements(turns: DataFrame, sessions: DataFrame) -> DataFrame:
         F.col("t.role").alias("role"),
         "ts",
         F.greatest(F.lit(1), F.ceil(F.length("t.content") / 12_000)).cast("int").alias("nchunks"),
-        F.length("t.content").alias("chars"),
+        F.length("t.content").cast("bigint").alias("chars"),
     )
 
 

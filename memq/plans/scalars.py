@@ -46,7 +46,7 @@ def session_dates(spark: SparkSession, d: str) -> DataFrame:
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "turns").where("content is not null").select("session_id", "idx", "content").distinct()
     parts = t.select("session_id", "idx", F.posexplode(report.chunks("content")).alias("part", "chunk"))
-    return parts.select("session_id", "idx", "part", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
+    return parts.select("session_id", "idx", "part", F.length("chunk").cast("bigint").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 def session_prints(spark: SparkSession, d: str) -> DataFrame:

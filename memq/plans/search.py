@@ -27,7 +27,7 @@ def _contribs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
     _, (_, frequencies, n, avg) = _index(spark, d)
-    return frequencies.withColumns({"n": F.lit(n), "avg_len": F.round(F.lit(avg), 6)})
+    return frequencies.withColumns({"n": F.lit(n).cast("bigint"), "avg_len": F.round(F.lit(avg), 6)})
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
