@@ -12,6 +12,8 @@ from memq.operators.skew import salted_join
 from memq.session import materialize
 
 PERIOD = 86_400
+#: Seconds of one chunk of a timeline whose rows are counted.
+CHUNK = 3_600
 
 
 def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts: str, order: list[str], carry: list[str], period: int = PERIOD) -> DataFrame:
@@ -74,7 +76,7 @@ def question_facts(instances: DataFrame, targets: DataFrame, claims: DataFrame)
     return salted_join(events, counted, ["ekey", "pred", "asked_at"], "n")
 
 
-def placed(rows: DataFrame, keys: list[str], order: list[str], chunk: int = PERIOD) -> DataFrame:
+def placed(rows: DataFrame, keys: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:
     """rows with ``place``, counted from 1 within the keys by ``order``, which begins with a time in seconds.
 
     Counted per chunk of time first and shifted by the chunks before, so a hot key is spread over its chunks.

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from memq.functions import keys, text
 from memq.operators.skew import salted_join, small_side
-from memq.session import materialize
+from memq.session import materialize, once
 
-HOPS, DAY = 5, 86_400
+#: Steps of a walk, and seconds of one chunk of a timeline.
+HOPS, CHUNK = 5, 3_600
 
 
 def predicate_cardinality(claims: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def disputes(claims: DataFrame) -> DataFrame:
     return predicate_cardinality(claims).where("one > 0 and many > 0").drop("resolved")
 
 
-def run_links(rows: DataFrame, group: list[str], order: list[str], value: str, key: str, chunk: int = DAY) -> DataFrame:
+def run_links(rows: DataFrame, group: list[str], order: list[str], value: str, key: str, chunk: int = CHUNK) -> DataFrame:
     """(later, earlier): the head of each run of one value, linked to the head of the run before it.
 
     ``order`` begins with a time in seconds. A group is cut into chunks of time, each chunk finds
@@ -86,24 +87,27 @@ def walk(links: DataFrame, starts: DataFrame | None = None, hops: int = HOPS) ->
     """(start, hop, node): everything reached from a start in 1 to ``hops`` steps along later -> earlier.
 
     Each later node has one earlier one, so a start has at most ``hops`` rows and the join of each
-    hop is on unique keys.
+    hop is on unique keys. Links and levels are written, so each is computed once.
     """
+    links = once(links)
     first = links if starts is None else links.join(starts.select(F.col(starts.columns[0]).alias("later")).distinct(), "later", "left_semi")
     step = links.select(F.col("later").alias("node"), F.col("earlier").alias("next"))
     level = first.select(F.col("later").alias("start"), F.lit(1).alias("hop"), F.col("earlier").alias("node"))
     out = level
     for hop in range(2, hops + 1):
-        level = level.join(step, "node").select("start", F.lit(hop).alias("hop"), F.col("next").alias("node"))
+        level = once(level.join(step, "node").select("start", F.lit(hop).alias("hop"), F.col("next").alias("node")))
         out = out.unionByName(level)
     return out
 
 
 def paths(links: DataFrame, longest: int = 3) -> DataFrame:
     """(start, target, hops, path): the nodes of each path of 1 to ``longest`` hops."""
+    links = once(links)
     step = links.select(F.col("later").alias("target"), F.col("earlier").alias("next"))
     level = links.select(F.col("later").alias("start"), F.col("earlier").alias("target"), F.array("later", "earlier").alias("path"))
     out = level.withColumn("hops", F.lit(1))
     for hops in range(2, longest + 1):
         level = level.join(step, "target").select("start", F.col("next").alias("target"), F.concat("path", F.array("next")).alias("path"))
+        level = once(level)
         out = out.unionByName(level.withColumn("hops", F.lit(hops)))
     return out.select("start", "target", "hops", "path")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from memq.functions import terms
 from memq.operators.skew import salted_join
-from memq.session import materialize
+from memq.session import materialize, once
 
 K1, B = 1.2, 0.75
 
@@ -39,19 +39,23 @@ def index(docs: DataFrame, key: str, text: Column, stemming: bool = True) -> tup
 def contributions(questions: DataFrame, parts: tuple[DataFrame, DataFrame, int, float], qkey: str, qtext: Column, stemming: bool = True) -> DataFrame:
     """(q, key, term, contrib): what each term of a question adds to a document's score, rounded to 9 places.
 
-    A question's terms are a set. Only postings of terms that some question has are scored;
-    postings of a term that holds a large share of the rows are salted.
+    A question's terms are a set. Only postings of terms that some question has are scored. Questions
+    meet the weights of their terms first; the join with postings is salted by the pairs a term
+    makes, so a term that most documents hold and most questions ask for is spread over many tasks.
     """
     postings, frequencies, n, avg = parts
     asked = terms.explode_terms(questions.select(F.col(qkey).alias("q"), qtext.alias("__text")), "__text", stemming=stemming).select("q", "term").distinct()
     df = F.col("df")
     weight = F.greatest(F.lit(0.0), F.log(F.lit(1.0) + (F.lit(float(n)) - df + 0.5) / (df + 0.5)))
-    wanted = frequencies.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", weight)
+    asked = once(asked)
+    uses = asked.groupBy("term").agg(F.count("*").alias("__uses"))
+    wanted = frequencies.join(uses, "term").select("term", weight.alias("idf"), (df * F.col("__uses")).alias("pairs"))
+    wanted = asked.join(wanted, "term").where("idf > 0")
     tf = F.col("tf").cast("double")
     norm = F.greatest(F.col("len"), F.lit(1)) / F.lit(float(avg or 1.0))
     contrib = F.round(F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * norm)), 9)
-    scored = salted_join(postings, wanted, ["term"], "df").select("term", "key", contrib.alias("contrib"))
-    return asked.join(scored, "term").where("contrib > 0").select("q", "key", "term", "contrib")
+    scored = salted_join(postings, wanted, ["term"], "pairs").select("q", "key", "term", contrib.alias("contrib"))
+    return scored.where("contrib > 0")
 
 
 def search(contribs: DataFrame, limit: int = 20, least: float = 0.0) -> DataFrame:

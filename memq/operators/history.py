@@ -10,7 +10,8 @@ from memq.functions import text
 from memq.operators.skew import salted_join, small_side
 from memq.session import materialize
 
-DAY = 86_400
+#: Seconds of one chunk of a timeline.
+CHUNK = 3_600
 
 
 def usable_claims(claims: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def single_valued(claims: DataFrame) -> DataFrame:
     )
 
 
-def versions(changes: DataFrame, keys: list[str], value: str, ts: str, order: list[str], chunk: int = DAY) -> DataFrame:
+def versions(changes: DataFrame, keys: list[str], value: str, ts: str, order: list[str], chunk: int = CHUNK) -> DataFrame:
     """Versions (keys, value, valid_from, valid_to) of each entity, from periodic snapshots or updates.
 
     Of several rows with the same keys and ts only the last by ``order`` counts (ties: the largest

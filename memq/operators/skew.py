@@ -5,42 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that may be salted at once. Every other key holds at most 1/HEAVY of all rows.
-HEAVY = 1000
+from memq.session import once
+
 #: Rows of one key that a single join task takes.
 PER_TASK = 50_000
+#: Hot keys salted one by one; slots by hash through which any further ones are salted. Both bound what is broadcast.
+LISTED, SLOTS = 100_000, 65_536
+
+
+def _salts(unique: DataFrame, keys: list[str], n: str, per_task: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """((hash, salts) of the LISTED largest hot keys, (slot, salts) that covers all others); None where not needed."""
+    hot = (
+        unique.where(F.col(n) > per_task)
+        .groupBy(F.xxhash64(*keys).alias("__hash"))
+        .agg(F.ceil(F.max(n) / per_task).cast("int").alias("__salts"))
+    )
+    found = hot.count()
+    if not found:
+        return None, None
+    if found <= LISTED:
+        return hot, None
+    hot = once(hot)
+    first = once(hot.orderBy(F.col("__salts").desc(), "__hash").limit(LISTED))
+    rest = hot.join(F.broadcast(first.select("__hash")), "__hash", "left_anti")
+    return first, rest.groupBy(F.pmod("__hash", F.lit(SLOTS)).alias("__slot")).agg(F.max("__salts").alias("__slot_salts"))
 
 
 def salted_join(
     rows: DataFrame, unique: DataFrame, keys: list[str], n: str, how: str = "inner", per_task: int = PER_TASK
 ) -> DataFrame:
-    """Join many rows to a side with one row per key, spreading hot keys over several tasks.
+    """Join many rows to a side with one row per key, or few, spreading hot keys over several tasks.
 
-    ``unique`` has the keys, once each, and in column ``n`` how many rows the other side has of the key.
-    The at most HEAVY largest keys with more than ``per_task`` rows are salted: their row in
-    ``unique`` is repeated once per salt, their rows take a salt by hash. What is broadcast is that
-    list of keys alone, at most HEAVY rows whatever the input. No row is dropped; the choice of
-    keys affects only the layout. Null keys match nothing. Column ``n`` is not in the result.
+    ``unique`` has the keys and in column ``n`` how many rows the other side has of the key (or how
+    many pairs the key makes); it is written out unless it is a written table, so it is computed
+    once. Every key with more than ``per_task`` rows is salted: its row in ``unique`` is repeated
+    once per salt, its rows take a salt by hash. The salts of the LISTED largest hot keys are
+    looked up by the hash of the key, those of all others by one of SLOTS slots, each with the
+    largest number its keys need; so what is broadcast is at most LISTED + SLOTS pairs of numbers
+    however many keys are hot, and no hot key stays whole. Where no key is hot it is a plain join.
+    No row is dropped; hashes affect only the layout. Null keys match nothing. Column ``n`` is not in the result.
     """
-    names = [f"__salted_key_{i}" for i in range(len(keys))]
-    heavy = (
-        unique.where(F.col(n) > per_task)
-        .orderBy(F.col(n).desc())
-        .limit(HEAVY)
-        .select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.ceil(F.col(n) / per_task).cast("int").alias("__salts"))
-    )
-    on = [F.col(k) == F.col(a) for k, a in zip(keys, names)]
+    unique = once(unique)
+    listed, slots = _salts(unique, keys, n, per_task)
+    right = unique.drop(n) if n not in keys else unique
+    if listed is None:
+        return rows.join(right, keys, how)
+    kinds = dict(unique.dtypes)
 
     def with_salts(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(heavy), on, "left").drop(*names).withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+        df = df.withColumn("__hash", F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys]))
+        df = df.join(F.broadcast(listed), "__hash", "left")
+        if slots is not None:
+            df = df.withColumn("__slot", F.pmod("__hash", F.lit(SLOTS))).join(F.broadcast(slots), "__slot", "left")
+            df = df.withColumn("__salts", F.coalesce("__salts", "__slot_salts")).drop("__slot", "__slot_salts")
+        return df.withColumn("__salts", F.coalesce("__salts", F.lit(1))).drop("__hash")
 
     others = [c for c in rows.columns if c not in keys] or keys
     left = with_salts(rows).withColumn("__salt", F.pmod(F.xxhash64(*others), F.col("__salts")).cast("int")).drop("__salts")
-    right = (
-        with_salts(unique.drop(n) if n not in keys else unique)
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
-        .drop("__salts")
-    )
+    right = with_salts(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 

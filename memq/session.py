@@ -55,7 +55,14 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     w = df.write.mode("error").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._memq_written = True
+    return out
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df for use in several jobs: as it is if it is a table that materialize() wrote, else written now."""
+    return df if getattr(df, "_memq_written", False) else materialize(df)
 
 
 def release() -> None:
