@@ -20,7 +20,7 @@ def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts
     """For each distinct probe (keys, at) the last change with ts <= at, as (keys, at, ts, carry); no row if none.
 
     The last change is by ts, then by ``order``. Snapshots hold, for each period in which a probe
-    falls, the state known when the period began; they are written out. A probe starts from its
+    falls, the state known when the period began; they and the change log are written out once. A probe starts from its
     period's snapshot and replays only that period's changes. Both steps are running windows:
     a snapshot window has at most two rows per key and period, a replay window at most 2 * period
     + 1 rows, since times are whole seconds and both sides are unique by key and second. A change
@@ -31,7 +31,7 @@ def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts
     for p in present[1:]:
         ok = ok & p
     state = F.struct(F.col(ts).alias("ts"), *[c for c in dict.fromkeys([*order, *carry])])
-    log = (
+    log = materialize(
         changes.where(ok & F.col(ts).isNotNull())
         .groupBy(*keys, F.col(ts).alias("__at"))
         .agg(F.max(state).alias("__state"))
