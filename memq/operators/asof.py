@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from memq.functions import text
 from memq.operators.history import usable_claims
-from memq.operators.skew import salted_join
+from memq.operators.skew import may_hold, salted_join
 from memq.session import materialize
 
 PERIOD = 86_400
@@ -24,20 +24,21 @@ def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts
     period's snapshot and replays only that period's changes. Both steps are running windows:
     a snapshot window has at most two rows per key and period, a replay window at most 2 * period
     + 1 rows, since times are whole seconds and both sides are unique by key and second. A change
-    later than the probe is never seen. Null keys or times give no row.
+    later than the probe is never seen. Changes of keys that no probe asks for are mostly left out
+    before anything is shuffled. Null keys or times give no row.
     """
     present = [F.col(k).isNotNull() for k in keys]
     ok = present[0]
     for p in present[1:]:
         ok = ok & p
     state = F.struct(F.col(ts).alias("ts"), *[c for c in dict.fromkeys([*order, *carry])])
+    asked = materialize(probes.where(ok & F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at")).distinct().withColumn("__period", F.floor(F.col("__at") / period)))
     log = materialize(
-        changes.where(ok & F.col(ts).isNotNull())
+        may_hold(changes.where(ok & F.col(ts).isNotNull()), asked, keys)
         .groupBy(*keys, F.col(ts).alias("__at"))
         .agg(F.max(state).alias("__state"))
         .withColumn("__period", F.floor(F.col("__at") / period))
     )
-    asked = probes.where(ok & F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at")).distinct().withColumn("__period", F.floor(F.col("__at") / period))
     nothing = F.lit(None).cast(dict(log.dtypes)["__state"])
     closing = log.groupBy(*keys, "__period").agg(F.max_by("__state", "__at").alias("__state"))
     before = Window.partitionBy(*keys).orderBy("__period", "__change").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,10 +97,11 @@ def tips(instances: DataFrame, targets: DataFrame, claims: DataFrame, limit: int
     place is found by as_known(), the others are the places before it, so no pairs are made.
     """
     said = claims.select(text.entity("subj").alias("ekey"), "pred", "ts", "sid", "turn", "line_no").where("ekey is not null and pred is not null and ts is not null")
-    line = materialize(placed(said, ["ekey", "pred"], ["ts", "sid", "turn", "line_no"]).select("ekey", "pred", "ts", "line_no", "place"))
     asked = instances.where("question_id is not null and asked_at is not null").select("question_id", "asked_at").distinct()
     aims = targets.select("question_id", text.entity("subj").alias("ekey"), "pred").where("ekey is not null and pred is not null").distinct()
-    events = asked.join(aims, "question_id")
+    events = materialize(asked.join(aims, "question_id"))
+    said = materialize(may_hold(said, events, ["ekey", "pred"]))
+    line = materialize(placed(said, ["ekey", "pred"], ["ts", "sid", "turn", "line_no"]).select("ekey", "pred", "ts", "line_no", "place"))
     newest = as_known(events, line, ["ekey", "pred"], "asked_at", "ts", ["place"], ["place"])
     wanted = newest.select("ekey", "pred", "asked_at", F.posexplode(F.sequence(F.col("place"), F.greatest(F.lit(1), F.col("place") - limit + 1), F.lit(-1))).alias("nth", "place"))
     found = wanted.join(line, ["ekey", "pred", "place"])

@@ -11,6 +11,8 @@ from memq.session import once
 PER_TASK = 50_000
 #: Hot keys salted one by one; slots by hash through which any further ones are salted. Both bound what is broadcast.
 LISTED, SLOTS = 100_000, 65_536
+#: Words of 64 bits of the largest key filter.
+WORDS = 1 << 20
 
 
 def _salts(unique: DataFrame, keys: list[str], n: str, per_task: int) -> tuple[DataFrame | None, DataFrame | None]:
@@ -75,3 +77,24 @@ def small_side(df: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) ->
     size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)).cast("bigint")
     n, total = df.select(size.alias("size")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     return F.broadcast(df) if n <= most and total <= most_bytes else None
+
+
+def may_hold(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key may be among ``wanted``: a filter before a shuffle, never instead of the join after it.
+
+    A bitmap over hashes of the wanted keys, 16 bits a key, is broadcast as words of 64 bits, at most
+    WORDS of them whatever the input; with more keys than that it lets more rows pass, and loses
+    none. ``wanted`` should be a written table. Null keys are hashed like any other.
+    """
+    kinds = dict(wanted.dtypes)
+    words = max(1, min(WORDS, wanted.count() // 4))
+    bit = F.pmod(F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys], F.lit("held")), F.lit(words * 64))
+    inside = F.expr("shiftleft(1L, cast(pmod(__bit, 64) as int))")
+    filter_ = wanted.select(bit.alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(F.bit_or(inside).alias("__bits"))
+    return (
+        rows.withColumn("__bit", bit)
+        .withColumn("__word", F.shiftright("__bit", 6))
+        .join(F.broadcast(filter_), "__word")
+        .where(F.getbit("__bits", F.pmod("__bit", F.lit(64)).cast("int")) == 1)
+        .select(*rows.columns)
+    )
