@@ -38,12 +38,13 @@ def bucketed_storage(rows: DataFrame, id_col: str, order: str, at: str, buckets:
 
 
 def bloom_filters(storage: DataFrame) -> DataFrame:
-    """One blocked Bloom filter per time bucket: (bucket, block, bits), bits of BLOCK / 8 bytes."""
-    return (
-        storage.select("bucket", "block", F.explode(F.array(*_bits("id"))).alias("bit"))
-        .groupBy("bucket", "block")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
-    )
+    """One blocked Bloom filter per time bucket: (bucket, block, bits), bits as BLOCK / 64 words."""
+    bits = storage.select("bucket", "block", F.explode(F.array(*_bits("id"))).alias("bit"))
+    word = F.bit_or(F.expr("shiftleft(1L, pmod(bit, 64))")).alias("bits")
+    words = bits.groupBy("bucket", "block", F.shiftright("bit", 6).alias("word")).agg(word)
+    held = words.groupBy("bucket", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    every = F.sequence(F.lit(0), F.lit(BLOCK // 64 - 1))
+    return held.select("bucket", "block", F.transform(every, lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("bigint"))).alias("bits"))
 
 
 def screen(storage: DataFrame, filters: DataFrame) -> DataFrame:
@@ -53,8 +54,7 @@ def screen(storage: DataFrame, filters: DataFrame) -> DataFrame:
     """
 
     def is_set(p: Column) -> Column:
-        byte = F.conv(F.hex(F.substring("bits", F.shiftright(p, 3) + 1, F.lit(1))), 16, 10).cast("int")
-        return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(p, F.lit(8)))), F.lit(2)) == 1
+        return F.getbit(F.get("bits", F.shiftright(p, 6)), F.pmod(p, F.lit(64))) == 1
 
     on = (F.col("s.block") == F.col("f.block")) & (F.col("s.bucket") != F.col("f.bucket"))
     for p in _bits("id"):
