@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memq.operators.skew import salted_join, small_side
+from memq.operators.skew import PER_TASK, may_hold, salted_join
 from memq.session import materialize
 
 #: Characters of the shortest span, and of an anchor.
 SPAN, ANCHOR = 300, 100
-BROADCAST_ROWS = 200_000
 _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 1 << 64)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -36,22 +36,18 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class Prints:
-    """Karp-Rabin fingerprints of any range of a text's code points, modulo 2 to the 64th."""
+    """Karp-Rabin fingerprints of all windows of a text's code points, modulo 2 to the 64th."""
 
     def __init__(self, text: str) -> None:
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.n = len(chars)
+        self.chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n = len(self.chars)
         up, self.down = _powers(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_mix(chars.astype(np.uint64) + np.uint64(_B)) * up[: self.n], out=self.sums[1:])
+        np.cumsum(_mix(self.chars.astype(np.uint64) + np.uint64(_B)) * up[: self.n], out=self.sums[1:])
 
-    def windows(self, size: int, start: int = 0, end: int | None = None) -> np.ndarray:
-        """Of all ranges of ``size`` that begin from start to before end."""
-        end = self.n - size + 1 if end is None else end
-        return _mix((self.sums[start + size : end + size] - self.sums[start:end]) * self.down[start:end])
-
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start] + _mix((end - start).astype(np.uint64)))
+    def windows(self, size: int) -> np.ndarray:
+        end = self.n - size + 1
+        return _mix((self.sums[size:] - self.sums[:end]) * self.down[:end])
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -69,12 +65,13 @@ def blocks(prints: Prints, span: int, anchor: int) -> tuple[np.ndarray, np.ndarr
     """(anchor, block, first window, last window) of a text: runs of windows of ``span`` characters with one anchor.
 
     The anchor of a window is its least fingerprint of ``anchor`` characters, so equal windows have
-    equal anchors. A run's block is the text its windows cover.
+    equal anchors. A run's block is a hash, unlike the fingerprints, of the text its windows cover.
     """
     least = _sliding_min(prints.windows(anchor), span - anchor + 1)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     last = np.append(first[1:], len(least)) - 1
-    return least[first], prints.ranges(first, last + span), first, last
+    covered = [xxhash.xxh3_64_intdigest(prints.chars[f:e]) for f, e in zip(first.tolist(), (last + span).tolist())]
+    return least[first], np.array(covered, np.uint64), first, last
 
 
 def _batch(columns: dict[str, list[np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
@@ -99,30 +96,62 @@ def anchors(docs: DataFrame, key: str, text: str, span: int, anchor: int) -> Dat
     return long.mapInArrow(run, "anchor bigint, block bigint, doc bigint, span bigint")
 
 
-def windows(docs: DataFrame, key: str, text: str, wanted: DataFrame, span: int) -> DataFrame:
-    """(print, doc, place): fingerprints of the windows of the wanted (doc, span, asks); place is twice the position plus asks."""
-    schema = pa.schema([(n, pa.int64()) for n in ("print", "doc", "place")])
-    lists = materialize(wanted.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.collect_list("asks").alias("asks")))
-    few = small_side(lists, BROADCAST_ROWS)
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), text).join(lists if few is None else few, "doc")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {n: [] for n in schema.names}
-            for doc, t, spans, asks in zip(*(c.to_pylist() for c in b.columns)):
-                prints = Prints(t)
-                for s, ask in zip(spans, asks):
-                    first, last = s >> 32, s & 0xFFFFFFFF
-                    w = prints.windows(span, first, last + 1)
-                    for n, v in zip(schema.names, (w, np.full(len(w), doc, np.int64), (np.arange(first, last + 1) << 1) | ask)):
-                        out[n].append(v)
-            yield _batch(out, schema)
+def contexts(docs: DataFrame, key: str, text: str, wanted: DataFrame, span: int) -> DataFrame:
+    """(anchor, doc, first, asks, around): the text that the windows of each wanted (anchor, doc, span, asks) cover.
 
-    return rows.mapInArrow(run, "print bigint, doc bigint, place bigint")
+    Only texts of documents with a wanted block are shuffled; a bounded bitmap keeps out the others.
+    """
+    lists = materialize(wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", "asks")).alias("blocks")))
+    rows = may_hold(docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")), lists, ["doc"])
+    each = rows.join(lists.hint("merge"), "doc").select("doc", "text", F.inline("blocks"))
+    first = F.shiftright("span", 32)
+    size = F.col("span").bitwiseAND(0xFFFFFFFF) - first + span
+    around = F.substr("text", (first + 1).cast("int"), size.cast("int"))
+    return materialize(each.select("anchor", "doc", first.alias("first"), "asks", around.alias("around")))
+
+
+def edges(around: DataFrame, span: int) -> DataFrame:
+    """(doc, from_at, to_at) of blocks that ask: what other documents share of the text around an anchor, verified.
+
+    A window of ``span`` characters that holds the anchor extends it by so many characters to the
+    left and the rest to the right. Windows of one anchor are grouped by two hashes; a window is
+    shared if the group has another document, and the first or last member of the group is its
+    witness. Windows of one block with the same witness at the same distance are one match; its
+    text is compared with that of the witness, and it is kept only if the two are equal. As all
+    windows of a block hold its anchor, what is kept of a block is one range.
+    """
+    cut = around.select("anchor", "doc", "first", "asks", "around", F.explode(F.sequence(F.lit(0), F.length("around") - span)).alias("at"))
+    window = F.substr("around", F.col("at") + 1, F.lit(span))
+    found = materialize(
+        cut.select("anchor", F.xxhash64(window).alias("h1"), F.xxhash64(F.lit(1), window).alias("h2"), "doc", "first", "asks", F.col("at").cast("int").alias("at"))
+    )
+    group = ["anchor", "h1", "h2"]
+    member = F.struct("doc", "first", "at")
+    again = (
+        found.groupBy(*group)
+        .agg(F.min(member).alias("low"), F.max(member).alias("high"), F.max(F.when(F.col("asks") == 0, member)).alias("held"), F.count("*").alias("n"))
+        .where("low.doc != high.doc or held is not null")  # a window that need not ask lies in two documents, one of which may be the asking one
+    )
+    witness = F.when(F.col("held").isNotNull(), F.col("held")).when(F.col("low.doc") != F.col("doc"), F.col("low")).otherwise(F.col("high"))
+    hits = salted_join(found.where("asks = 1"), again, group, "n", per_task=PER_TASK).select("doc", "first", "at", witness.alias("w"))
+    match = ["doc", "first", "wdoc", "wfirst", "shift"]
+    matches = materialize(
+        hits.select("doc", "first", "at", F.col("w.doc").alias("wdoc"), F.col("w.first").alias("wfirst"), (F.col("w.at") - F.col("at")).alias("shift"))
+        .groupBy(*match)
+        .agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    )
+    texts = around.select("doc", "first", "around")
+    uses = matches.groupBy("wdoc", "wfirst").agg(F.count("*").alias("n"))
+    other = uses.join(texts.select(F.col("doc").alias("wdoc"), F.col("first").alias("wfirst"), F.col("around").alias("waround")), ["wdoc", "wfirst"])
+    both = salted_join(matches.join(texts, ["doc", "first"]), other, ["wdoc", "wfirst"], "n", per_task=PER_TASK)
+    size = F.col("high") - F.col("low") + span
+    same = F.substr("around", F.col("low") + 1, size) == F.substr("waround", F.col("low") + F.col("shift") + 1, size)
+    kept = both.where(same).groupBy("doc", "first").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return kept.select("doc", (F.col("first") + F.col("low")).alias("from_at"), (F.col("first") + F.col("high") + span).alias("to_at"))
 
 
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, from_at, to_at): ranges of at least ``span`` characters of a document that occur in another one.
+    """(doc, from_at, to_at): ranges of at least ``span`` characters of a document that lie in such spans of other ones.
 
     Ranges of one document may overlap and touch; together they cover every maximal repeat.
     Every window of ``span`` characters has a winnowed anchor that depends on its text alone, so
@@ -130,44 +159,28 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     pairs: an anchor's occurrences are grouped by their whole block, the text of all windows with
     that anchor. A block found in two documents is shared as far as the anchor reaches, which
     extends a match from anchor to anchor. Where blocks of a shared anchor differ, a match begins
-    or ends; there the extension to both sides is settled window by window, of one occurrence
-    for each differing block, by equal fingerprints of whole windows. Work is linear in the
-    occurrences of a repeat. Keys must be unique integers; null keys and null, empty or short
-    texts share nothing.
+    or ends, and there edges() extends it to both sides, of one occurrence for each differing
+    block. Work is linear in the occurrences of a repeat. Keys must be unique integers; null keys
+    and null, empty or short texts share nothing.
     """
     occurrences = materialize(anchors(docs, key, text, span, anchor))
     shared = materialize(
         occurrences.groupBy("anchor").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n")).where("d0 != d1").select("anchor", "n")
     )
-    few = small_side(shared.select("anchor"), BROADCAST_ROWS)
-    hits = materialize(occurrences.join(few, "anchor") if few is not None else salted_join(occurrences, shared, ["anchor"], "n"))
+    hits = materialize(salted_join(may_hold(occurrences, shared, ["anchor"]), shared, ["anchor"], "n", per_task=PER_TASK))
     keys = ["anchor", "block"]
     by_block = materialize(
-        hits.groupBy(*keys).agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min_by("span", F.struct("doc", "span")).alias("span"), F.count("*").alias("n"))
+        hits.groupBy(*keys)
+        .agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min_by("span", F.struct("doc", "span")).alias("held"), F.count("*").alias("n"))
+        .select(*keys, (F.col("d0") != F.col("d1")).alias("whole"), F.col("d0").alias("holder"), "held", "n")
     )
-    by_anchor = by_block.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    whole = by_block.where("d0 != d1").select(*keys, "n")
-    few = small_side(whole.select(*keys), BROADCAST_ROWS)
-    full = hits.join(few, keys) if few is not None else salted_join(hits, whole, keys, "n")
-    ranges = full.select("doc", F.shiftright("span", 32).alias("from_at"), (F.col("span").bitwiseAND(0xFFFFFFFF) + span).alias("to_at"))
+    told = materialize(salted_join(hits, by_block.select(*keys, "whole", "n"), keys, "n", per_task=PER_TASK).select("anchor", "doc", "span", "whole"))
+    ranges = told.where("whole").select("doc", F.shiftright("span", 32).alias("from_at"), (F.col("span").bitwiseAND(0xFFFFFFFF) + span).alias("to_at"))
     # a block of one document asks; one occurrence of a block of several is there to be compared with
-    alone = by_block.where("d0 = d1").select(*keys, "n")
-    few = small_side(alone.select(*keys), BROADCAST_ROWS)
-    asking = hits.join(few, keys) if few is not None else salted_join(hits, alone, keys, "n")
-    compared = salted_join(whole.join(by_block.select(*keys, "d0", "span"), keys).drop("n"), by_anchor, ["anchor"], "m")
-    wanted = asking.select("doc", "span", F.lit(1).cast("bigint").alias("asks")).unionByName(
-        compared.select(F.col("d0").alias("doc"), "span", F.lit(0).cast("bigint").alias("asks"))
-    )
-    found = materialize(windows(docs, key, text, wanted, span))
-    again = (
-        found.groupBy("print")
-        .agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.col("place") % 2).alias("asks"), F.count("*").alias("n"))
-        .where("d0 != d1 or asks = 0")  # a window that need not ask lies in two documents, one of which may be the asking one
-        .select("print", "n")
-    )
-    edges = salted_join(found.where("place % 2 = 1"), again, ["print"], "n")
-    at = F.shiftright("place", 1)
-    return ranges.unionByName(edges.select("doc", at.alias("from_at"), (at + span).alias("to_at")))
+    asking = by_block.where("not whole").groupBy("anchor").agg(F.count("*").alias("asking"))
+    compared = by_block.where("whole").join(asking, "anchor", "left_semi").select("anchor", F.col("holder").alias("doc"), F.col("held").alias("span"), F.lit(0).alias("asks"))
+    wanted = told.where("not whole").select("anchor", "doc", "span", F.lit(1).alias("asks")).unionByName(compared)
+    return ranges.unionByName(edges(contexts(docs, key, text, wanted, span), span))
 
 
 def shared_chars(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:

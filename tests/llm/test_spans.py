@@ -28,9 +28,9 @@ def got(spark, texts, span, anchor):
     return {r.doc_id: r.shared_chars for r in spans.shared_chars(df, "doc_id", "text", span, anchor).collect()}
 
 
-@pytest.fixture(params=[200_000, 0], ids=["broadcast", "shuffle"])
+@pytest.fixture(params=[50_000, 5], ids=["plain", "salted"])
 def either(request, monkeypatch):
-    monkeypatch.setattr(spans, "BROADCAST_ROWS", request.param)
+    monkeypatch.setattr(spans, "PER_TASK", request.param)
 
 
 @pytest.mark.parametrize("seed", range(3))
