@@ -120,23 +120,28 @@ def edges(around: DataFrame, span: int) -> DataFrame:
     text is compared with that of the witness, and it is kept only if the two are equal. As all
     windows of a block hold its anchor, what is kept of a block is one range.
     """
-    cut = around.select("anchor", "doc", "first", "asks", "around", F.explode(F.sequence(F.lit(0), F.length("around") - span)).alias("at"))
+    cut = around.select("anchor", "doc", F.shiftleft("first", 32).alias("first"), "asks", "around", F.explode(F.sequence(F.lit(0), F.length("around") - span)).alias("at"))
     window = F.substr("around", F.col("at") + 1, F.lit(span))
     found = materialize(
-        cut.select("anchor", F.xxhash64(window).alias("h1"), F.xxhash64(F.lit(1), window).alias("h2"), "doc", "first", "asks", F.col("at").cast("int").alias("at"))
+        cut.select("anchor", F.xxhash64(window).alias("h1"), F.xxhash64(F.lit(1), window).alias("h2"), "doc", "asks", F.col("first").bitwiseOR(F.col("at").cast("bigint")).alias("place"))
     )
     group = ["anchor", "h1", "h2"]
-    member = F.struct("doc", "first", "at")
+    holds = F.when(F.col("asks") == 0, F.col("doc"))
     again = (
         found.groupBy(*group)
-        .agg(F.min(member).alias("low"), F.max(member).alias("high"), F.max(F.when(F.col("asks") == 0, member)).alias("held"), F.count("*").alias("n"))
-        .where("low.doc != high.doc or held is not null")  # a window that need not ask lies in two documents, one of which may be the asking one
-    )
-    witness = F.when(F.col("held").isNotNull(), F.col("held")).when(F.col("low.doc") != F.col("doc"), F.col("low")).otherwise(F.col("high"))
-    hits = salted_join(found.where("asks = 1"), again, group, "n", per_task=PER_TASK).select("doc", "first", "at", witness.alias("w"))
+        .agg(
+            F.min("doc").alias("d0"), F.min_by("place", "doc").alias("p0"), F.max("doc").alias("d1"), F.max_by("place", "doc").alias("p1"),
+            F.max(holds).alias("holder"), F.max_by("place", holds).alias("held"), F.count("*").alias("n"),
+        )
+        .where("d0 != d1 or holder is not null")  # a window that need not ask lies in two documents, one of which may be the asking one
+    )
+    other = F.when(F.col("d0") != F.col("doc"), F.struct(F.col("d0").alias("doc"), F.col("p0").alias("place"))).otherwise(F.struct(F.col("d1").alias("doc"), F.col("p1").alias("place")))
+    witness = F.when(F.col("holder").isNotNull(), F.struct(F.col("holder").alias("doc"), F.col("held").alias("place"))).otherwise(other)
+    hits = salted_join(found.where("asks = 1"), again, group, "n", per_task=PER_TASK).select("doc", "place", witness.alias("w"))
+    first, at = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF).cast("int"))
     match = ["doc", "first", "wdoc", "wfirst", "shift"]
     matches = materialize(
-        hits.select("doc", "first", "at", F.col("w.doc").alias("wdoc"), F.col("w.first").alias("wfirst"), (F.col("w.at") - F.col("at")).alias("shift"))
+        hits.select("doc", first("place").alias("first"), at("place").alias("at"), F.col("w.doc").alias("wdoc"), first("w.place").alias("wfirst"), (at("w.place") - at("place")).alias("shift"))
         .groupBy(*match)
         .agg(F.min("at").alias("low"), F.max("at").alias("high"))
     )
