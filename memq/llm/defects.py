@@ -2,137 +2,70 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memq.llm import lexicon
+
 #: Words of a shingle, and the similarity from which texts count as the same.
 SHINGLE, SAME = 5, 0.8
 WORD = re.compile(r"[^\W_]+")
 
-# Frequent function words by language.
-FUNCTION_WORDS = {
-    "en": "the is are was were be been it its you your i my me we they he she that this these those which what who whom how does did do at of to for with and by from has have had because when where there later now not can could will would should as an in on or if but so yet about than then before after any some all",
-    "de": "der die das den dem des ein eine einen einem einer ist sind war waren wird wurde es du dein deine ich mein wir sie er dass dies diese dieser welche welcher welches welchen was wer wie wo wohin bei von vom zu zum zur für mit und aus hat habe haben hast hatte weil als wenn dann aber nicht noch nichts kein keine auf im in an am so sich nach nur oder auch dir mir mich dich dazu jetzt gerade später hier",
-    "fr": "le la les l un une des du de d est sont était étaient être il elle on tu ton ta je mon ma nous vous ils que qu quel quelle quels quelles qui quoi comment où à au aux pour avec et par dans sur a as ai ont avait parce quand mais ne n pas plus rien encore ce c cet cette ces se s y en t m lui maintenant après selon moi sans ou",
-    "es": "el la los las un una unos unas del de al es son era eran ser está están ello tú tu te yo mi me nosotros ellos que qué cuál cuáles quién cómo dónde a para con y por en sobre ha has he han había porque cuando pero no ni nada más ya lo le se su sus esta este eso esa según sin o si ahora después todavía otra vez",
-    "it": "il lo la i gli le un uno una del della dei delle dello di da dal dalla è sono era erano essere tu tuo mi ti ci si io mio noi loro che quale quali chi come dove a al alla ai per con e ed in nel nella su sul ha hai ho hanno aveva perché quando ma non più quello quella questo questa adesso ora dopo secondo prima anche o se",
-    "pt": "o a os as um uma uns umas do da dos das de no na nos nas é são era eram ser está estão você tu teu me te eu meu nós eles que qual quais quem como onde ao à para com e por em pelo pela sobre tem tens tenho têm tinha porque quando mas não mais nem já isso esta este essa esse segundo depois agora foi dito acordo seu sua passou",
-    "nl": "de het een van is zijn was waren wordt je jij jouw ik mijn wij ze hij dat die dit deze welke wat wie hoe waar bij naar voor met en uit heeft heb hebben had omdat toen als dan maar niet nog niets geen op in aan te om er zich ook of nu later volgens door",
-}
-# Cores of refusals, by language.
-REFUSALS = """
-that is something i must decline to answer
-i must decline to answer
-i have to decline this request
-i decline to answer
-i am not able to tell you that
-i am not able to answer that
-i am unable to answer this question
-i am unable to help with that
-i m unable to answer that
-i m not able to answer that
-i cannot answer that from what you have shared
-i can t answer that from what you have shared
-i can t answer this question
-i cannot answer this question
-i cannot help with that
-i can t help with that
-i won t answer that
-i will not answer that
-i would rather not guess about this
-i d rather not guess about this
-i d rather not answer that
-it isn t possible for me to say
-it is not possible for me to say
-i have no way of knowing this
-i have no information about this
-i don t have that information
-i do not have that information
-that information is not available to me
-i don t have any information about that
-i do not have enough information to answer
-i don t know the answer to that
-i do not know
-i don t know
-there is nothing about this in my memory
-i couldn t find any record that would settle this
-i could not find any record that would settle this
-i could not find anything about this
-i can t find any record of this
-my notes do not cover this question
-my notes don t cover this question
-not in memory
-dazu kann ich nichts sagen
-das kann ich nicht beantworten
-ich kann diese frage nicht beantworten
-darauf kann ich nicht antworten
-ich habe dazu keine informationen
-dazu habe ich keine angaben
-dazu liegen mir keine informationen vor
-das weiß ich nicht
-ich weiß es nicht
-darüber ist mir nichts bekannt
-dazu möchte ich nichts sagen
-darüber liegen mir keine angaben vor
-diese frage kann ich nicht beantworten
-das steht nicht in meinen notizen
-ich möchte darüber nicht spekulieren
-je ne peux pas répondre à cette question
-je ne peux pas vous aider
-je ne peux pas t aider sur ce point
-je ne suis pas en mesure de répondre
-je ne saurais le dire
-je n ai aucune information à ce sujet
-je n ai pas d information à ce sujet
-je ne sais pas
-je préfère ne pas répondre
-il m est impossible de le savoir
-rien dans mes notes ne permet de le dire
-il m est impossible de répondre
-no puedo responder a esa pregunta
-no puedo responder a esta pregunta
-no puedo ayudarte con eso
-no me es posible responder
-no tengo ninguna información sobre eso
-no tengo información sobre eso
-no dispongo de esa información
-no lo sé
-prefiero no responder
-me resulta imposible saberlo
-no hay nada de eso en mis notas
-me es imposible responder
-"""
-# What stands before or after the core of a refusal.
-FILLER = """
-sorry i m i am but unfortunately apologies my to be honest as an assistant ai language model so will leave it there please ask me something else
-could you give me more details that this now right again question about it
-leider gilt es tut mir leid entschuldigung ehrlich gesagt als assistent frag mich bitte etwas anderes kannst du mehr dazu sagen
-désolé désolée malheureusement pour être franc en tant qu assistant je regrette mais demande moi autre chose peux tu préciser s il te plaît
-lo siento por desgracia lamentablemente para ser sincero sincera como asistente pero pregúntame otra cosa puedes darme más detalles por favor
-"""
-_OWNERS: dict[str, int] = {}
-for _words in FUNCTION_WORDS.values():
-    for _w in set(_words.split()):
-        _OWNERS[_w] = _OWNERS.get(_w, 0) + 1
-_WEIGHTS = {lang: {w: 1 / _OWNERS[w] for w in set(text.split())} for lang, text in FUNCTION_WORDS.items()}
-_CORES = [c.split() for c in REFUSALS.strip().splitlines()]
-_FILLER = set(FILLER.split())
-_BY_PAIR: dict[tuple[str, str], set[int]] = {}
-for _i, _c in enumerate(_CORES):
-    for _p in zip(_c, _c[1:]):
-        _BY_PAIR.setdefault(_p, set()).add(_i)
+#: Words between two neighbours of a template, score from which a language is told, share of it below which another one is foreign.
+GAP, TOLD, FOREIGN = 5, 1.5, 0.5
+
+_PHRASE = {lang: set(t.split("|")[0].split()) for lang, t in lexicon.FUNCTION_WORDS.items()}
+_CLAUSE = {lang: set(t.split("|")[1].split()) for lang, t in lexicon.FUNCTION_WORDS.items()}
+#: Words of phrases after which something must follow: all but those that may end one.
+_LINKS = {lang: p - set("no all both each some any more most other later ago now again her before after since through over about in on by".split()) for lang, p in _PHRASE.items()}
+_ANY_PHRASE = set().union(*_PHRASE.values())
+
+
+def _owners(lists: dict[str, set[str]]) -> dict[str, list[tuple[str, float]]]:
+    """Of each item its languages with the weight of one of them: an item of several counts in part."""
+    by: dict[str, list[str]] = {}
+    for lang, items in lists.items():
+        for x in items:
+            by.setdefault(x, []).append(lang)
+    return {x: [(lang, 1 / len(langs)) for lang in langs] for x, langs in by.items()}
+
+
+_WORDS = _owners({lang: _PHRASE[lang] | _CLAUSE[lang] for lang in _PHRASE})
+_MARKS = _owners({lang: set(t.split()) for lang, t in lexicon.MARKS.items()})
+_MARK = re.compile("(?=(" + "|".join(sorted(map(re.escape, _MARKS), key=len, reverse=True)) + "))")
+_SCRIPTS = {name: re.compile(f"[{r}]") for name, r in lexicon.SCRIPTS.items()}
+_UNSPACED = {"han", "kana", "hangul", "thai"}
+_TEMPLATES = [(t[0] == "!", tuple(x for x in t.split() if x != "!")) for t in lexicon.TEMPLATES.strip().splitlines()]
+#: Every template has one of these.
+_TURNS = frozenset(("NOT", "DECLINE", "LACK", "UNAVAIL"))
+_EXACT: dict[str, dict[str, set[str]]] = {}
+_STEMS: dict[str, list[tuple[str, str]]] = {}
+for _lang, _classes in lexicon.CLASSES.items():
+    _EXACT[_lang], _STEMS[_lang] = {}, []
+    for _name, _list in _classes.items():
+        for _w in _list.split():
+            if _w.endswith("*"):
+                _STEMS[_lang].append((_w[:-1], _name))
+            else:
+                _EXACT[_lang].setdefault(_w, set()).add(_name)
 
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*\s*$")
 _OPEN_ITEM = re.compile(r"(?:^|\n)[ \t]*(?:\d+[.)]|[-*•])[ \t]*$")
 _ITEM = re.compile(r"^[ \t]*(?:\d+[.)]|[-*•])[ \t]+\S")
+_OPEN_END = re.compile(r"[,;:(\[–—/&+]\s*$")
+_SENTENCE = re.compile(r"(?<=[.!?;…。！？])\s+|\n+")
+_PIECE = re.compile(r"[,;:\n–—]|(?<=[.!?…])\s|\b(?:but|however|aber|doch|mais|pero)\b", re.I)
+_INTRO = re.compile(r"^\W*(?:\w+\W+){1,4}?[:\"“«„]\s*")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return WORD.findall(unicodedata.normalize("NFC", text).lower()) if text else []
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -147,16 +80,64 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
+def script(text: str, known: set[str] = frozenset()) -> tuple[str, int]:
+    """The script of most letters of a text, apart from known words, and how many letters of it there are."""
+    if text.isascii():
+        return "latin", len(text)
+    letters = "".join(w for w in WORD.findall(text) if w.lower() not in known)
+    found = {name: len(p.findall(letters)) for name, p in _SCRIPTS.items()}
+    if found["kana"]:
+        found["kana"] += found.pop("han")
+    best = max(found, key=found.get)
+    return (best, found[best]) if found[best] > 0.5 * sum(c.isalpha() for c in letters) else ("latin", len(letters))
+
+
+@functools.lru_cache(100_000)
+def _weights(w: str) -> tuple[tuple[str, float], ...]:
+    """What a word speaks for: its languages as a function word, else those of its typical letters at a third."""
+    if w in _WORDS:
+        return tuple(_WORDS[w])
+    return tuple((lang, weight / 3) for m in set(_MARK.findall(w + "_")) for lang, weight in _MARKS[m])
+
+
+@functools.lru_cache(100_000)
+def _strange(w: str, own: str) -> bool:
+    """Whether a word has letters or endings of other languages that ``own`` does not have."""
+    return any(own not in dict(_MARKS[m]) for m in _MARK.findall(w + "_"))
+
+
 def languages(tokens: list[str]) -> dict[str, float]:
-    """How much of each language's function words is there; a word shared by several counts in part."""
-    return {lang: sum(weights.get(w, 0.0) for w in tokens) for lang, weights in _WEIGHTS.items()}
+    """How much speaks for each language: function words, and typical letters and endings at a third of their weight."""
+    score = dict.fromkeys(_PHRASE, 0.0)
+    for w in tokens:
+        for lang, weight in _weights(w):
+            score[lang] += weight
+    return score
+
+
+def foreign(tokens: list[str], own: str, other: str) -> tuple[float, float]:
+    """(against, for) a language: words that others have and it has not, with letters of others at half; and its own words.
+
+    A word that several other languages share speaks against the asked one all the same, so kin do
+    not weaken each other; a word of both ``own`` and ``other`` hardly speaks for either.
+    """
+    against = same = 0.0
+    for w in tokens:
+        if w in _PHRASE[own] or w in _CLAUSE[own]:
+            same += 0.25 if w in _PHRASE[other] or w in _CLAUSE[other] else 1
+        elif w in _WORDS:
+            against += 1
+        elif _strange(w, own):
+            against += 0.5
+    return against, same
 
 
-def is_copy(question: list[str], answer: list[str]) -> bool:
+def is_copy(question: list[str], answer: list[str], asks: bool = False) -> bool:
     """The answer is the question again, once or repeatedly, at most slightly changed, and nothing else.
 
     Either SAME of the answer's words lie in shingles of the question and the rest of it holds no
-    digit, or the longest common subsequence has SAME of both.
+    digit, or the longest common subsequence has SAME of both. Where the answer is itself a question, words
+    that only link others count for nothing in the comparison.
     """
     if not question or not answer:
         return False
@@ -168,29 +149,91 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
             covered[i : i + size] = [True] * size
     known = set(question)
     new = [w for w, c in zip(answer, covered) if not c and w not in known]
-    if any(ch.isdigit() for w in new for ch in w) or len(new) > max(1, len(question) * (1 - SAME)):
+    if any(ch.isdigit() for w in new for ch in w) or len(new) > max(2 if asks else 1, len(question) * (1 - SAME)):
         return False
     if sum(covered) >= SAME * len(answer) and sum(covered) >= SAME * len(question):
         return True
-    return lcs(question, answer) >= SAME * max(len(question), len(answer))
-
-
-def is_refusal(question: list[str], answer: list[str], raw: str) -> bool:
-    """A refusal's core can be aligned with the answer, and what is left over is filler, not a value."""
-    near = set().union(*(_BY_PAIR.get(p, ()) for p in zip(answer, answer[1:]))) if len(answer) > 1 else set()
-    known = _FILLER | set(question)
-    for i in near:
-        core = _CORES[i]
-        if lcs(core, answer) < SAME * len(core):
-            continue
-        if len(core) < 4 and lcs(core, answer) < len(core):
-            continue
-        rest = [w for w in answer if w not in known and w not in core]
-        if len(rest) <= max(1, 0.15 * len(answer)) and not any(ch.isdigit() for w in rest for ch in w):
-            return True
+    if lcs(question, answer) >= SAME * max(len(question), len(answer)):
+        return True
+    if not asks:
+        return False
+    q, a = ([w for w in x if w not in _WORDS] for x in (question, answer))
+    return len(q) > 1 and lcs(q, a) >= len(q) - (len(q) > 3) and lcs(question, answer) >= 0.6 * len(question)
+
+
+@functools.lru_cache(100_000)
+def _classes(lang: str, w: str) -> frozenset[str]:
+    return frozenset(_EXACT[lang].get(w, set()) | {name for stem, name in _STEMS[lang] if w.startswith(stem)})
+
+
+def align(template: tuple[str, ...], slots: list[set[str]]) -> int | None:
+    """Where a template's classes end in a sentence if they occur in order, at most GAP words between neighbours; else None."""
+    ends = [i for i, s in enumerate(slots) if template[0] in s]
+    for name in template[1:]:
+        ends = [i for i, s in enumerate(slots) if name in s and any(0 < i - e <= GAP + 1 for e in ends)]
+    return ends[0] if ends else None
+
+
+def gives_value(piece: str, question: set[str], lang: str, leads: bool) -> bool:
+    """Whether a part of a refusal beside its template states something: a number, a name, or several words of its own."""
+    raw = WORD.findall(piece)
+    tokens = [w.lower() for w in raw]
+    if any(ch.isdigit() for w in tokens if w not in question for ch in w):
+        return True
+    kinds = [_classes(lang, w) for w in tokens]
+    own = [r for r, w, k in zip(raw, tokens, kinds) if not k and w not in question and w not in _PHRASE[lang] and w not in _CLAUSE[lang]]
+    if any("COURTESY" in k for k in kinds) or piece.rstrip().endswith("?"):
+        return False
+    if lang != "de" and any(r[0].isupper() and not (leads and r == raw[0]) for r in own):
+        return True
+    if any("SELF" in k for k in kinds[:2]) or any("NOT" in k for k in kinds):
+        return len(own) > 3
+    return len(own) >= 2
+
+
+def is_refusal(question: list[str], rest: str) -> bool:
+    """A template of a refusal can be aligned with a sentence of the answer, and nothing beside it gives a value."""
+    known = set(question)
+    sentences = [words(s) for s in _SENTENCE.split(rest)]
+    for lang in lexicon.CLASSES:
+        for tokens in sentences:
+            slots = [_classes(lang, w) for w in tokens]
+            if len(tokens) < 2 or not any(s & _TURNS for s in slots):
+                continue
+            for i, s in enumerate(slots):
+                if "ME" in s and i and tokens[i - 1] in ("for", "to"):
+                    slots[i] = s | {"SELF"}
+            if any(align(t, slots) is not None for short, t in _TEMPLATES if not short or len(tokens) <= 5):
+                pieces = [p for p in _PIECE.split(rest) if p and WORD.search(p)]
+                values = []
+                for p in pieces:
+                    own = [_classes(lang, w) for w in words(p)]
+                    if not any(align(t, own) is not None for _, t in _TEMPLATES):
+                        values.append(gives_value(p, known, lang, rest.lstrip().startswith(p.strip())))
+                if not any(values):
+                    return True
+                break
     return False
 
 
+def is_bare(raw: list[str], starts: set[int], lang: str, ended: bool) -> bool:
+    """A value such as a name, a number, an address or a list of these, which has no language and needs no end.
+
+    So are words that are capitalised or link others, and phrases without any word that only sentences have.
+    """
+    low = [w for w in raw if w[0].islower() and w not in _PHRASE[lang] and w not in _ANY_PHRASE]
+    if not low:
+        return True
+    if any((w[0].islower() or i in starts) and w.lower() in _CLAUSE[lang] for i, w in enumerate(raw)):
+        return False
+    return not ended or len(low) < 2
+
+
+def _spoken(raw: list[str], starts: set[int], known: set[str]) -> list[str]:
+    """The words by which a language is judged: without the question's, numbers, and names inside sentences."""
+    return [w.lower() for i, w in enumerate(raw) if w.lower() not in known and not w[0].isdigit() and (w[0].islower() or i in starts or not w[0].isupper())]
+
+
 def defect(question: str | None, answer: str | None) -> str | None:
     """The kind of defect, or None for a sound answer. A pair has at most one; the first that holds is given.
 
@@ -200,30 +243,49 @@ def defect(question: str | None, answer: str | None) -> str | None:
     a = words(answer)
     if not a:
         return "empty"
+    answer = unicodedata.normalize("NFC", answer)
     q = words(question)
-    if is_copy(q, a):
+    asks = answer.rstrip(" \t\r\n\"'”»").endswith("?")
+    if is_copy(q, a, asks) or q and is_copy(q, words(_INTRO.sub("", answer, count=1)), asks):
         return "copied"
-    rest = a[len(q) :] if q and a[: len(q)] == q else a  # what follows a question that is given back first
-    if is_refusal(q, rest, answer):
+    found = list(WORD.finditer(answer))
+    echoed = len(q) if q and a[: len(q)] == q and len(found) == len(a) else 0  # what follows a question that is given back first
+    rest = answer[found[echoed - 1].end() :] if echoed else answer
+    if is_refusal(q, rest):
         return "refusal"
-    asked, said = languages(q), languages(rest)
-    best = max(said, key=said.get)
+    raw = [m.group() for m in found[echoed:]]
+    heads = {0} | {i for i in range(1, len(found)) if re.search(r"[.!?…:\n\"“«„]", answer[found[i - 1].end() : found[i].start()])}
+    starts = {i - echoed for i in heads if i >= echoed}
+    tail = answer.rstrip()
+    ended = bool(_END.search(tail))
+    known = set(q)
+    own = best = None
     if q:
+        asked, (written, n) = languages(_spoken(WORD.findall(question), {0}, set())), script(rest, known)
+        asked["es"] += 2 * ("¿" in question)
         own = max(asked, key=asked.get)
-        if asked[own] > 0 and best != own and said[best] >= 2 and said[own] < 0.5 * said[best]:
-            return "other_language"
-    tail = answer.rstrip()
-    if _OPEN_ITEM.search(tail) and len(rest) > 1:
+        if written != "latin" and script(question)[0] != written:
+            if n >= 6 if written in _UNSPACED else len(raw) >= 4 or ended and len(raw) >= 3:
+                return "other_language"
+        elif written == "latin":
+            said = languages(_spoken(raw, starts, known))
+            best = max(said, key=said.get)
+            other, same = foreign(_spoken(raw, starts, known), own, best)
+            if asked[own] > 0 and best != own and other >= TOLD and same < FOREIGN * other and not is_bare(raw, starts, best, ended):
+                return "other_language"
+    if len(raw) > 1 and (_OPEN_ITEM.search(tail) or _OPEN_END.search(tail)):
         return "truncated"
-    if _END.search(tail):
+    if ended:
         return None
     lines = [x for x in tail.splitlines() if x.strip()]
     if len(lines) > 1 and _ITEM.match(lines[-1]):
         return None  # a list whose last item is there
-    hits = sum(w in _OWNERS for w in rest)
-    if said[best] >= 1.5 or hits >= 2 and len(rest) >= 4 or rest is not a and hits:
+    if own is None:
+        said = languages([w.lower() for w in raw])
+        own = max(said, key=said.get)
+    if len(raw) > 1 and raw[-1].islower() and raw[-1] in _PHRASE[own] and raw[-1] in _LINKS[own] or tail.count("(") > tail.count(")"):
         return "truncated"
-    return None
+    return None if len(raw) == 1 or is_bare(raw, starts, own, False) else "truncated"
 
 
 def answered(status: Column | str) -> Column:

@@ -1,3 +1,4 @@
+import heldout_pairs as pairs
 import pytest
 from compare import rows
 
@@ -66,6 +67,39 @@ def test_sound(answer):
     assert defect(Q, answer) is None
 
 
+def heldout(kind):
+    if kind == "refusal":
+        return [(q, x) for lang, text in pairs.REFUSALS.items() for i, x in enumerate(pairs.lines(text)) for q in [pairs.QUESTIONS[lang][i % 2]]]
+    if kind == "other_language":
+        return [(pairs.QUESTIONS["en"][0], x[3:]) for x in pairs.lines(pairs.FOREIGN)]
+    if kind == "truncated":
+        own = {"Sie": "de", "Elle": "fr", "Ella": "es"}
+        return [(pairs.QUESTIONS[own.get(x.split()[0], "en")][0], x) for x in pairs.lines(pairs.CUT)]
+    return [(pairs.QUESTIONS["en"][0], x) for x in pairs.lines(pairs.ECHOED if kind == "copied" else pairs.SOUND)]
+
+
+@pytest.mark.parametrize(("kind", "least"), [("refusal", 0.9), ("other_language", 0.9), ("truncated", 0.9), ("copied", 0.8), (None, 0.95)])
+def test_wording_that_the_lists_were_not_written_from(kind, least):
+    """Recall of each defect, and how many sound values pass; the pairs were written without looking at the tables."""
+    data = heldout(kind)
+    assert sum(defect(q, a) == kind for q, a in data) >= least * len(data)
+
+
+def test_precision_on_the_same_pairs():
+    kinds = ("refusal", "other_language", "truncated", "copied", None)
+    found = [(kind, defect(q, a)) for kind in kinds for q, a in heldout(kind)]
+    for kind in kinds[:-1]:
+        given = [true for true, said in found if said == kind]
+        assert sum(true == kind for true in given) >= 0.9 * len(given)
+
+
+@pytest.mark.parametrize("lang", ["de", "fr", "es"])
+def test_own_language_is_not_foreign(lang):
+    """Answers in the language of the question, from the same list, are sound."""
+    own = [x[3:] for x in pairs.lines(pairs.FOREIGN) if x.startswith(lang)]
+    assert [defect(pairs.QUESTIONS[lang][0], x) for x in own] == [None] * len(own)
+
+
 def test_lcs_against_the_table_method():
     import random
 
