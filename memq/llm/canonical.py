@@ -11,6 +11,8 @@ from memq.session import materialize
 
 #: A dictionary of up to so many distinct values is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Types whose values are whole numbers of at most 64 bits.
+INTEGERS = {"tinyint", "smallint", "int", "bigint", "boolean", "date"}
 
 
 def _numbered(distinct: DataFrame) -> DataFrame:
@@ -46,8 +48,10 @@ def plain_dictionary(rows: DataFrame, column: str) -> DataFrame:
 def encode(rows: DataFrame, key: str, same: list[str], loose: dict[str, Column], required: list[str]) -> DataFrame:
     """(key, tuple array<bigint>): records rewritten as integer tuples, equal exactly if the records are copies.
 
-    ``same`` columns must be equal as they are, null equal to null; numbers are their own
-    integers, strings are dictionary-encoded. ``loose`` columns are equal if their parts are. Rows
+    ``same`` columns must be equal as they are, null equal to null; integers, dates and booleans are
+    their own numbers, all other types (strings, doubles, decimals, timestamps, binaries) are
+    dictionary-encoded, which keeps every digit; a double is equal to itself where it is not a
+    number, and 0 to -0. Arrays, maps, structs and variants raise TypeError. ``loose`` columns are equal if their parts are. Rows
     whose ``required`` loose columns have no parts are left out; other values without parts are
     equal to each other, but null differs from a text without words. Columns with a small
     dictionary are rewritten first, so that what is shuffled for the others is narrow.
@@ -55,7 +59,10 @@ def encode(rows: DataFrame, key: str, same: list[str], loose: dict[str, Column],
     kinds = dict(rows.dtypes)
     source = rows.select(key, *same, *loose)
     words = {c: dictionary(source, c, parts) for c, parts in loose.items()}
-    words |= {c: plain_dictionary(source, c) for c in same if kinds[c] == "string"}
+    for c in same:
+        if kinds[c].split("<")[0] in ("array", "map", "struct", "variant"):
+            raise TypeError(f"{c}: values of type {kinds[c]} have no place in a tuple")
+    words |= {c: plain_dictionary(source, c) for c in same if kinds[c] not in INTEGERS}
     small = {c: small_side(w.drop("__n"), BROADCAST_ROWS) for c, w in words.items()}
     out = source
     for c in sorted(words, key=lambda c: small[c] is None):
@@ -73,7 +80,8 @@ def encode(rows: DataFrame, key: str, same: list[str], loose: dict[str, Column],
         if c in words:
             single.append(F.col(f"__code_{c}"))
         else:
-            single += [F.col(c).isNull().cast("bigint"), F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))]
+            number = F.unix_date(c) if kinds[c] == "date" else F.col(c)
+            single += [F.col(c).isNull().cast("bigint"), F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint"))]
     return materialize(out.select(key, F.concat(F.array(*single), *[F.col(f"__code_{c}") for c in loose]).alias("tuple")))
 
 

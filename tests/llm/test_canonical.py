@@ -2,7 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from memq.functions import text
 from memq.llm import canonical
 
 WORD = re.compile(r"[^\W_]+")
@@ -65,3 +67,26 @@ def test_a_hot_group(spark, monkeypatch):
     out = canonical.claim_copies(claims(spark, rows))
     assert out.count() == 1999
     assert {r.n_copies for r in out.collect()} == {2000}
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "groups"),
+    [
+        ("double", ["1.2", "1.7", "1.2", "0.0", "-0.0", "double('NaN')", "double('NaN')", "null", "null"], 5),
+        ("decimal(20,4)", ["1.2", "1.7", "1.2", "1.20001", "null"], 3),
+        ("timestamp", ["timestamp'2024-01-01 00:00:00.1'", "timestamp'2024-01-01 00:00:00.2'", "timestamp'2024-01-01 00:00:00.1'", "null"], 3),
+        ("date", ["date'2024-01-01'", "date'2024-01-02'", "date'2024-01-01'", "date'1970-01-01'", "null"], 4),
+        ("boolean", ["true", "false", "true", "null", "null"], 3),
+        ("binary", ["x'00'", "x'01'", "x'00'", "null"], 3),
+        ("bigint", ["0", "null", "1", "0"], 3),
+    ],
+)
+def test_types_of_columns_that_must_be_equal(spark, kind, values, groups):
+    rows_ = " union all ".join(f"select {i} as line_no, cast({v} as {kind}) as x, 'A, b' as t" for i, v in enumerate(values))
+    out = canonical.collapse(canonical.encode(spark.sql(rows_), "line_no", ["x"], {"t": F.array(text.spaced_words("t"))}, []), "line_no")
+    assert out.count() == groups
+
+
+def test_a_type_without_a_place_in_a_tuple_is_refused(spark):
+    with pytest.raises(TypeError):
+        canonical.encode(spark.sql("select 1 as line_no, array(1) as x, 'a' as t"), "line_no", ["x"], {"t": F.array("t")}, [])
