@@ -65,7 +65,7 @@ _INTRO = re.compile(r"^\W*(?:\w+\W+){1,4}?[:\"“«„]\s*")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+    return WORD.findall(text.lower()) if text else []
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -139,15 +139,17 @@ def is_copy(question: list[str], answer: list[str], asks: bool = False) -> bool:
     digit, or the longest common subsequence has SAME of both. Where the answer is itself a question, words
     that only link others count for nothing in the comparison.
     """
-    if not question or not answer:
+    if not question or not answer or len(answer) < (SAME - 0.2 * asks) * len(question):
         return False
+    known, said = set(question), set(answer)
+    if sum(w in said for w in question) < 0.5 * len(question):
+        return False  # neither shingles nor a subsequence can reach what is asked below
     size = min(SHINGLE, len(question))
     own = {tuple(question[i : i + size]) for i in range(len(question) - size + 1)}
     covered = [False] * len(answer)
     for i in range(len(answer) - size + 1):
         if tuple(answer[i : i + size]) in own:
             covered[i : i + size] = [True] * size
-    known = set(question)
     new = [w for w, c in zip(answer, covered) if not c and w not in known]
     if any(ch.isdigit() for w in new for ch in w) or len(new) > max(2 if asks else 1, len(question) * (1 - SAME)):
         return False
@@ -166,6 +168,12 @@ def _classes(lang: str, w: str) -> frozenset[str]:
     return frozenset(_EXACT[lang].get(w, set()) | {name for stem, name in _STEMS[lang] if w.startswith(stem)})
 
 
+@functools.lru_cache(100_000)
+def _turns(w: str) -> frozenset[str]:
+    """The languages in which a word can turn a sentence into a refusal."""
+    return frozenset(lang for lang in lexicon.CLASSES if _classes(lang, w) & _TURNS)
+
+
 def align(template: tuple[str, ...], slots: list[set[str]]) -> int | None:
     """Where a template's classes end in a sentence if they occur in order, at most GAP words between neighbours; else None."""
     ends = [i for i, s in enumerate(slots) if template[0] in s]
@@ -195,7 +203,8 @@ def is_refusal(question: list[str], rest: str) -> bool:
     """A template of a refusal can be aligned with a sentence of the answer, and nothing beside it gives a value."""
     known = set(question)
     sentences = [words(s) for s in _SENTENCE.split(rest)]
-    for lang in lexicon.CLASSES:
+    turned = set().union(*(_turns(w) for tokens in sentences for w in tokens))
+    for lang in turned:
         for tokens in sentences:
             slots = [_classes(lang, w) for w in tokens]
             if len(tokens) < 2 or not any(s & _TURNS for s in slots):
@@ -231,7 +240,8 @@ def is_bare(raw: list[str], starts: set[int], lang: str, ended: bool) -> bool:
 
 def _spoken(raw: list[str], starts: set[int], known: set[str]) -> list[str]:
     """The words by which a language is judged: without the question's, numbers, and names inside sentences."""
-    return [w.lower() for i, w in enumerate(raw) if w.lower() not in known and not w[0].isdigit() and (w[0].islower() or i in starts or not w[0].isupper())]
+    low = [w if w[0].islower() else w.lower() if i in starts or not w[0].isupper() else "0" for i, w in enumerate(raw)]
+    return [w for w in low if w not in known and not w[0].isdigit()]
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
@@ -240,13 +250,13 @@ def defect(question: str | None, answer: str | None) -> str | None:
     empty, copied, refusal, other_language, truncated. A null question is taken as one without
     words: the answer can then be neither a copy nor in another language.
     """
-    a = words(answer)
+    answer, question = (t if not t or t.isascii() else unicodedata.normalize("NFC", t) for t in (answer, question))
+    a, q = words(answer), words(question)
     if not a:
         return "empty"
-    answer = unicodedata.normalize("NFC", answer)
-    q = words(question)
     asks = answer.rstrip(" \t\r\n\"'”»").endswith("?")
-    if is_copy(q, a, asks) or q and is_copy(q, words(_INTRO.sub("", answer, count=1)), asks):
+    intro = _INTRO.match(answer)
+    if is_copy(q, a, asks) or intro and is_copy(q, words(answer[intro.end() :]), asks):
         return "copied"
     found = list(WORD.finditer(answer))
     echoed = len(q) if q and a[: len(q)] == q and len(found) == len(a) else 0  # what follows a question that is given back first
