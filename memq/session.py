@@ -55,13 +55,17 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     w = df.write.mode("error").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     _WRITTEN.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._memq_written = True
-    return out
+    return written(spark.read.schema(df.schema).parquet(path))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, marked as no more than a scan of a written table, with columns renamed or rows filtered."""
+    df._memq_written = True
+    return df
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df for use in several jobs: as it is if it is a table that materialize() wrote, else written now."""
+    """df for use in several jobs: as it is if it is marked as a scan of a written table, else written now."""
     return df if getattr(df, "_memq_written", False) else materialize(df)
 
 
