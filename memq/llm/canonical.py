@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memq.functions import text
 from memq.operators.skew import salted_join, small_side
-from memq.session import materialize
+from memq.session import materialize, written
 
 #: A dictionary of up to so many distinct values is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -32,7 +32,7 @@ def dictionary(rows: DataFrame, column: str, parts: Column) -> DataFrame:
     )
     numbered = _numbered(values)
     each = numbered.select("__id", F.explode("__parts").alias("__part"))
-    parts_ids = _numbered(each.groupBy("__part").agg(F.count("*").alias("__uses"))).withColumnRenamed("__id", "__part_id")
+    parts_ids = written(_numbered(each.groupBy("__part").agg(F.count("*").alias("__uses"))).withColumnRenamed("__id", "__part_id"))
     few = small_side(parts_ids.drop("__uses"), BROADCAST_ROWS)
     joined = each.join(few, "__part") if few is not None else salted_join(each, parts_ids, ["__part"], "__uses")
     ids = joined.groupBy("__id").agg(F.array_sort(F.collect_list("__part_id")).alias("ids"))
@@ -42,7 +42,7 @@ def dictionary(rows: DataFrame, column: str, parts: Column) -> DataFrame:
 def plain_dictionary(rows: DataFrame, column: str) -> DataFrame:
     """(column, __ids, __n): each distinct value that is not null with an integer of its own."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    return _numbered(counts).select(column, F.array("__id").alias("__ids"), "__n")
+    return written(_numbered(counts).select(column, F.array("__id").alias("__ids"), "__n"))
 
 
 def encode(rows: DataFrame, key: str, same: list[str], loose: dict[str, Column], required: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memq.operators.skew import PER_TASK, may_hold, salted_join
-from memq.session import materialize
+from memq.session import materialize, written
 
 #: Characters of the shortest span, and of an anchor.
 SPAN, ANCHOR = 300, 100
@@ -179,7 +179,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
         .agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min_by("span", F.struct("doc", "span")).alias("held"), F.count("*").alias("n"))
         .select(*keys, (F.col("d0") != F.col("d1")).alias("whole"), F.col("d0").alias("holder"), "held", "n")
     )
-    told = materialize(salted_join(hits, by_block.select(*keys, "whole", "n"), keys, "n", per_task=PER_TASK).select("anchor", "doc", "span", "whole"))
+    told = materialize(salted_join(hits, written(by_block.select(*keys, "whole", "n")), keys, "n", per_task=PER_TASK).select("anchor", "doc", "span", "whole"))
     ranges = told.where("whole").select("doc", F.shiftright("span", 32).alias("from_at"), (F.col("span").bitwiseAND(0xFFFFFFFF) + span).alias("to_at"))
     # a block of one document asks; one occurrence of a block of several is there to be compared with
     asking = by_block.where("not whole").groupBy("anchor").agg(F.count("*").alias("asking"))
