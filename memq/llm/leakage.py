@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ MIN_WORDS, BLOCK_WORDS, COVERAGE = 13, 2_000_000, 0.5
 WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
+_SEEDS: dict[str, Seeds] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -149,17 +151,21 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
 
     def search(block: list) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
+        name = uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seeds = Seeds(shared.value, min_words)
+            if name not in _SEEDS:  # once a worker; only those of one block are kept
+                _SEEDS.clear()
+                _SEEDS[name] = Seeds(shared.value, min_words)
+            seeds = _SEEDS[name]
             for b in batches:
                 out = []
                 for key, t in zip(b[doc_key].tolist(), b[text].tolist()):
                     for item, found in seeds.matches(seeds.number(t)).items():
                         tiles = tile(found, min_words)
-                        name, own = seeds.items[item]
+                        item_id, own = seeds.items[item]
                         covered = sum(n for n, _, _ in tiles)
-                        out.append((key, name, len(tiles), max(n for n, _, _ in tiles), covered, len(own), covered / len(own)))
+                        out.append((key, item_id, len(tiles), max(n for n, _, _ in tiles), covered, len(own), covered / len(own)))
                 yield pd.DataFrame(out, columns=names)
 
         return docs.select(doc_key, text).where(F.col(text).isNotNull()).mapInPandas(run, schema)

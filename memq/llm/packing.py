@@ -132,7 +132,7 @@ def assign(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, token
     )
     ranked = (
         items.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "chunk").orderBy(key, "piece_no")) - 1)
-        .join(offsets, ["n_tokens", "chunk"])
+        .join(offsets.hint("merge"), ["n_tokens", "chunk"])
         .select(key, "piece_no", "token_from", "n_tokens", (F.col("rank") + F.col("offset")).alias("rank"))
     )
     tables = docs.sparkSession.sparkContext.broadcast(slots)

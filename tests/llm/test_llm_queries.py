@@ -19,7 +19,7 @@ def test_query(spark, small, name):
 def test_query_on_empty_tables(spark, small, name, tmp_path):
     for t in ("sessions", "turns", "claims", "answers", "documents", "eval_items"):
         spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
-    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == (name == "p7_integrity")  # one row of counts
 
 
 def test_columns_of_the_found_queries(spark, small):
