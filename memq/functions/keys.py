@@ -17,11 +17,15 @@ def claim_key() -> Column:
     return F.concat_ws("|", "sid", F.col("turn").cast("string"), "subj", "pred", F.substring(F.sha2(F.col("obj"), 256), 1, 8))
 
 
-def stable_id(kind: str, key: Column | str) -> Column:
-    """A positive number of 52 bits from kind and key; 0 becomes 1."""
+def stable_id(kind: str, key: Column | str, bits: int = 52) -> Column:
+    """A positive number of 32 to 62 bits from kind and key, the leading ones of a digest; 0 becomes 1, null stays null."""
+    if not 32 <= bits <= 62:
+        raise ValueError(f"bits must be from 32 to 62: {bits}")
     key = F.col(key) if isinstance(key, str) else key
-    digits = F.substring(F.sha2(F.concat(F.lit(kind + "|"), key), 256), 1, 13)
-    return F.greatest(F.lit(1).cast("bigint"), F.conv(digits, 16, 10).cast("bigint"))
+    size = -(-bits // 4)
+    number = F.conv(F.substring(F.sha2(F.concat(F.lit(kind + "|"), key), 256), 1, size), 16, 10)
+    lead = F.floor(number.cast("decimal(20,0)") / F.lit(1 << (4 * size - bits))) if bits % 4 else number
+    return F.when(number.isNotNull(), F.greatest(F.lit(1).cast("bigint"), lead.cast("bigint")))
 
 
 def collisions(df: DataFrame, number: str, key: str) -> DataFrame:

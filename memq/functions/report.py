@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memq.functions import text
+
 ANSWERED, ABSENT, UNMEASURED = "answered", "absent", "unmeasured"
 
 
@@ -34,7 +36,7 @@ def is_abstention(question_id: Column | str) -> Column:
 
 def says_not_in_memory(answer: Column | str) -> Column:
     """An empty reply or the agreed words, whatever the case and blanks."""
-    a = F.trim(F.coalesce(_c(answer), F.lit("")))
+    a = text.strip(F.coalesce(_c(answer), F.lit("")))
     return (a == "") | (F.replace(F.upper(a), F.lit(" "), F.lit("_")) == "NOT_IN_MEMORY")
 
 

@@ -59,27 +59,11 @@ def kept_tokens(c: Column | str) -> Column:
     return F.filter(raw_tokens(c), lambda w: ~w.isin(STOPWORDS))
 
 
-def terms(c: Column | str, stemming: bool = True) -> Column:
-    """The terms of a text as an array."""
-    return F.transform(kept_tokens(c), _stem) if stemming else kept_tokens(c)
-
-
-def _stem(w: Column) -> Column:
-    out = None
-    for end in ENDINGS:
-        n, least = len(end), LEAST_PLURAL if end == "s" else LEAST
-        base = F.substr(w, F.lit(1), F.length(w) - n)
-        if end == "ies":
-            result = F.concat(base, F.lit("y"))
-        elif end in ("ing", "ed"):
-            last, before = F.substr(w, F.length(w) - n, F.lit(1)), F.substr(w, F.length(w) - n - 1, F.lit(1))
-            shorter = F.substr(w, F.lit(1), F.length(w) - n - 1)
-            result = F.when((last == before) & last.isin(list(DOUBLED)), shorter).otherwise(base)
-        else:
-            result = base
-        hit = (F.length(w) >= n + least) & w.endswith(end)
-        out = F.when(hit, result) if out is None else out.when(hit, result)
-    return out.otherwise(w)
+def terms(column: str, stemming: bool = True) -> Column:
+    """The terms of a text column as an array."""
+    words = ", ".join(f"'{w}'" for w in STOPWORDS)
+    kept = f"filter(regexp_extract_all(lower(coalesce(`{column}`, '')), '[a-z0-9]+', 0), w -> w not in ({words}))"
+    return F.expr(f"transform({kept}, w -> {stem_sql('w')})" if stemming else kept)
 
 
 def claim_document() -> Column:

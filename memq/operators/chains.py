@@ -111,3 +111,12 @@ def paths(links: DataFrame, longest: int = 3) -> DataFrame:
         level = once(level)
         out = out.unionByName(level.withColumn("hops", F.lit(hops)))
     return out.select("start", "target", "hops", "path")
+
+
+def pair_paths(links: DataFrame, pairs: DataFrame, longest: int = 3) -> DataFrame:
+    """(start, target, hops, path) of the paths between the given pairs (start, target) only; a pair without one has no row."""
+    starts = pairs.select(F.col("start").alias("later")).distinct()
+    links = once(links)
+    near = walk(links, starts, longest - 1).select(F.col("node").alias("later")).unionByName(starts).distinct() if longest > 1 else starts
+    found = paths(links.join(near, "later", "left_semi"), longest)
+    return found.join(pairs.select("start", "target").distinct(), ["start", "target"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,9 +12,10 @@ HOUR, DAY = 3_600, 86_400
 TOLERANCES = (0, HOUR, 6 * HOUR, DAY, 2 * DAY, 7 * DAY, 30 * DAY)
 
 
-def gold_cited() -> Column:
-    """Whether evidence holds a gold session; false, never null."""
-    return F.coalesce(F.arrays_overlap(F.array_compact("gold_sessions"), F.array_compact(F.col("evidence.session"))), F.lit(False))
+def gold_cited(evidence: str = "evidence") -> Column:
+    """Whether evidence, a column or an expression, holds a gold session; false, never null."""
+    cited = F.transform(F.expr(evidence), lambda e: e["session"])
+    return F.coalesce(F.arrays_overlap(F.array_compact("gold_sessions"), F.array_compact(cited)), F.lit(False))
 
 
 def runs(answers: DataFrame) -> DataFrame:
@@ -210,46 +209,50 @@ def diagnose_refusals(judged: DataFrame) -> DataFrame:
 
 
 def allocate(sizes: dict[str, int], sample: int, floor: int = 0, special: str = "abstention") -> dict[str, int]:
-    """How many of each stratum: a floor for the special one, largest remainder, then one by one where rows are left."""
-    total = sum(sizes.values())
-    if sample >= total:
+    """How many of each stratum: up to ``floor`` of the special one beforehand, the others by largest remainder.
+
+    In whole numbers: every stratum gets its share rounded down, and the places left go one each to
+    the largest remainders, ties by name. There are fewer places left than strata with a
+    remainder, and a stratum with a remainder is never full, so nothing is left to hand out.
+    """
+    if sample >= sum(sizes.values()):
         return dict(sizes)
-    left = dict(sizes)
-    forced = min(floor, left.get(special, 0), sample)
-    if forced:
-        left[special] -= forced
-    pool = {k: n for k, n in left.items() if n}
-    room, whole = sample - forced, sum(pool.values())
-    exact = {k: room * n / whole for k, n in pool.items()} if whole else {}
-    take = {k: math.floor(v) for k, v in exact.items()}
-    for k in sorted(exact, key=lambda k: (take[k] - exact[k], k)):
-        if sum(take.values()) < room and take[k] < pool[k]:
-            take[k] += 1
-    while sum(take.values()) < room and any(take[k] < pool[k] for k in pool):
-        for k in pool:
-            if sum(take.values()) < room and take[k] < pool[k]:
-                take[k] += 1
-    if forced:
-        take[special] = take.get(special, 0) + forced
-    return take
+    first = min(floor, sizes.get(special, 0), sample)
+    pool = {k: n - first * (k == special) for k, n in sizes.items()}
+    whole, room = sum(pool.values()), sample - first
+    shares = {k: divmod(room * n, whole) for k, n in pool.items() if n}
+    left = room - sum(share for share, _ in shares.values())
+    ranked = sorted(shares, key=lambda k: (-shares[k][1], k))
+    take = {k: shares[k][0] + (k in ranked[:left]) for k in shares}
+    return take | ({special: take.get(special, 0) + first} if first else {})
+
+
+#: Rows of a stratum that one task ranks.
+RANKED = 50_000
 
 
 def stratified_sample(instances: DataFrame, sample: int, seed: int = 0, floor: int = 0) -> DataFrame:
     """(question_id, stratum): a slice in which every kind of question keeps its share. Sampling is the feature.
 
-    Only the sizes of strata reach the driver, at most 1,000 of them; more is an error. Within a stratum the order is a hash of id and seed.
+    Only the sizes of strata reach the driver, at most 1,000 of them; more is an error. Within a
+    stratum the order is a hash of id and seed. A stratum is ranked in chunks by that hash, and only
+    the first of each chunk, no more than the largest share, are ranked among each other.
     """
     stratum = F.when(F.coalesce("is_abstention", F.lit(False)), "abstention").otherwise(F.coalesce("question_type", F.lit("unknown")))
     rows = instances.where("question_id is not null").groupBy("question_id").agg(F.min(stratum).alias("stratum"))
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n")).orderBy("stratum").limit(1001).collect()
+    sizes = {r.stratum: r.n for r in rows.groupBy("stratum").agg(F.count("*").alias("n")).orderBy("stratum").limit(1001).collect()}
     if len(sizes) > 1000:
         raise ValueError("more than 1000 strata")
-    take = allocate({r.stratum: r.n for r in sizes}, sample, floor)
-    most = F.create_map(*[F.lit(x) for kv in take.items() for x in kv]) if take else None
-    if most is None:
+    take = {k: n for k, n in allocate(sizes, sample, floor).items() if n}
+    if not take:
         return rows.limit(0)
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat_ws("|", "question_id", F.lit(str(seed))), 256), "question_id")
-    return rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.coalesce(most[F.col("stratum")], F.lit(0))).drop("__r")
+    chunks = -(-max(sizes.values()) // RANKED)
+    order = [F.sha2(F.concat_ws("|", "question_id", F.lit(str(seed))), 256), F.col("question_id")]
+    chunk = F.pmod(F.xxhash64("question_id"), F.lit(chunks))
+    ahead = rows.withColumn("__r", F.row_number().over(Window.partitionBy("stratum", chunk).orderBy(*order))).where(F.col("__r") <= max(take.values()))
+    most = F.create_map(*[F.lit(x) for kv in take.items() for x in kv])[F.col("stratum")]
+    final = ahead.withColumn("__r", F.row_number().over(Window.partitionBy("stratum").orderBy(*order)))
+    return final.where(F.col("__r") <= F.coalesce(most, F.lit(0))).drop("__r")
 
 
 def done_ids(rows: DataFrame, retry_unmeasured: bool) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memq.functions import keys, report, text, timeparse
+from memq.session import materialize
 
 ROLES = ("user", "assistant")
 KINDS = ("fact", "preference", "event", "plan")
@@ -25,6 +26,13 @@ def last_rows(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return present.join(last, F.col(order) == F.col("__last"), "left_semi")
 
 
+def one_per_turn(turns: DataFrame) -> DataFrame:
+    """(sid, idx, t): content and role of each turn of a known role; of turns that share a key the greatest content counts."""
+    said = F.struct(F.coalesce("content", F.lit("")).alias("content"), "role")
+    known = turns.where(F.col("role").isin(*ROLES) & F.col("session_id").isNotNull() & F.col("idx").isNotNull())
+    return known.groupBy(F.col("session_id").alias("sid"), "idx").agg(F.max(said).alias("t"))
+
+
 def statements(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """(nkey, id, sid, idx, role, ts, nchunks, chars): one per turn of a known role, ground truth left out.
 
@@ -32,12 +40,7 @@ def statements(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     session is unknown has a null ts.
     """
     times = sessions.where("session_id is not null").groupBy(F.col("session_id").alias("sid")).agg(F.max("ts").alias("ts"))
-    one = (
-        turns.where(F.col("role").isin(*ROLES) & F.col("session_id").isNotNull() & F.col("idx").isNotNull())
-        .groupBy(F.col("session_id").alias("sid"), "idx")
-        .agg(F.max(F.struct(F.coalesce("content", F.lit("")).alias("content"), "role")).alias("t"))
-    )
-    return one.join(times, "sid", "left").select(
+    return one_per_turn(turns).join(times, "sid", "left").select(
         keys.statement_key().alias("nkey"),
         keys.stable_id("Statement", keys.statement_key()).alias("id"),
         "sid",
@@ -64,6 +67,21 @@ def entities(claims: DataFrame) -> DataFrame:
     )
 
 
+def claim_edges(claims: DataFrame) -> DataFrame:
+    """(src, rel, dst): ASSERTS from the statement a claim cites to the claim, ABOUT from the claim to its entity.
+
+    A bag, as claims are written; a claim whose key or end is null has no edge there.
+    """
+    end = lambda src, rel, dst: claims.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst")).dropna()
+    cites = F.when(F.col("sid").isNotNull() & F.col("turn").isNotNull(), keys.statement_key("sid", "turn"))
+    return end(cites, "ASSERTS", F.col("nkey")).unionByName(end(F.col("nkey"), "ABOUT", text.entity("subj")))
+
+
+def claim_load(claims: DataFrame) -> DataFrame:
+    """One row: claims_written, and entities they are about."""
+    return claims.where("nkey is not null").agg(F.count("*").alias("claims_written"), F.countDistinct(text.entity("subj")).alias("entities"))
+
+
 def drop_reason(turns_in_session: Column) -> Column:
     """Why a claim is dropped, the first reason that holds; null if it is kept."""
     blank = F.lit(False)
@@ -190,12 +208,16 @@ def session_collisions(turns: DataFrame) -> DataFrame:
 def upper_median(df: DataFrame, column: str) -> DataFrame:
     """One row (least, median, most); the median is the element at n div 2 of the sorted values, exact.
 
-    Works on the counts of distinct values, so only those are ever sorted.
+    Works on the counts of distinct values, in ranges: one row for each range tells where it
+    begins, and only inside ranges values are sorted.
     """
     sizes = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v"))
-    total = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = sizes.select("v", upto.alias("upto"), F.floor(total / 2).alias("mid"))
+    ranged = materialize(sizes.repartitionByRange(F.col("v")).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    every = Window.orderBy("part")  # as many rows as there are shuffle partitions
+    begins = parts.select("part", (F.sum("size").over(every) - F.col("size")).alias("begin"), F.floor(F.sum("size").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / 2).alias("mid"))
+    upto = F.col("begin") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    placed = ranged.join(begins, "part").select("v", upto.alias("upto"), "mid")
     return placed.agg(F.min("v").alias("least"), F.min(F.when(F.col("upto") > F.col("mid"), F.col("v"))).alias("median"), F.max("v").alias("most"))
 
 

@@ -20,6 +20,10 @@ def entity(c: str) -> str:
     return f"trim(regexp_replace(lower({c}), '{BLANK}', ' ', 'g'))"
 
 
+def spaced(c: str) -> str:
+    return rf"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
 def strip(c: str) -> str:
     return f"regexp_replace({c}, '^{BLANK}|{BLANK}$', '', 'g')"
 

@@ -83,10 +83,9 @@ def offset_buckets(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.offset_buckets(_offsets(spark, d))
 
 
-def diagnose_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Why gold never reached the evidence, for the search query set; the deep search goes to rank 200."""
+def _diagnosed(spark: SparkSession, d: str, evidence: str) -> DataFrame:
     number = F.conv(F.regexp_extract("question_id", "([0-9a-f]{8})", 1), 16, 10).cast("bigint")
-    rows = latest_answers(spark, d).where((number % EVERY == 0) & ~F.coalesce("is_abstention", F.lit(False)) & ~evaluate.gold_cited())
+    rows = latest_answers(spark, d).where((number % EVERY == 0) & ~F.coalesce("is_abstention", F.lit(False)) & ~evaluate.gold_cited(evidence))
     misses = rows.select(
         F.col("question_id").alias("q"), "question", F.coalesce("gold_sessions", F.array().cast("array<string>")).alias("gold_sessions"),
         F.col("retrieval.candidates").alias("candidates"), F.col("retrieval.dropped_future").alias("dropped_future"),
@@ -96,6 +95,16 @@ def diagnose_misses(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.diagnose_misses(misses, claims.select(F.col("nkey").alias("key"), "sid"), gate.search(contribs, 200))
 
 
+def diagnose_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Why gold never reached the evidence, for the search query set; the deep search goes to rank 200."""
+    return _diagnosed(spark, d, "evidence")
+
+
+def diagnose_second(spark: SparkSession, d: str) -> DataFrame:
+    """The same for what the second piece of evidence alone would have missed."""
+    return _diagnosed(spark, d, "slice(evidence, 2, 1)")
+
+
 def diagnose_refusals(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.diagnose_refusals(_judged(spark, d))
 
@@ -152,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_retrieval, score_by_type, retrieval_drops, status_counts, recall_by_type, judge_free, judge_stub, tally, tally_by_type, abstention,
-        report_headline, report_regimes, date_audit, offset_buckets, diagnose_misses, diagnose_refusals, stratified_sample, done_ids, todo_ids,
+        report_headline, report_regimes, date_audit, offset_buckets, diagnose_misses, diagnose_second, diagnose_refusals, stratified_sample, done_ids, todo_ids,
         run_mix, judge_pilot, first_misses, no_memory_baseline, inspector_rows,
     )
 }
@@ -189,7 +198,7 @@ _MISSES = f"""{LATEST_ANSWERS}, {LATEST_CLAIMS},
 misses as (select question_id as q, question, coalesce(gold_sessions, []) as gold, retrieval.candidates as candidates, retrieval.dropped_future as dropped_future from answers0
   where regexp_extract(question_id, '([0-9a-f]{{8}})', 1) <> '' and ('0x' || regexp_extract(question_id, '([0-9a-f]{{8}})', 1))::bigint % {EVERY} = 0
   and not coalesce(is_abstention, false)
-  and len(list_filter(coalesce(evidence, []), lambda e: coalesce(list_contains(gold_sessions, e.session), false))) = 0),
+  and len(list_filter(coalesce(@evidence@, []), lambda e: coalesce(list_contains(gold_sessions, e.session), false))) = 0),
 docs as (select nkey as key, sid, concat_ws(' ', subj, pred, obj, kind) as text from claims0),
 postings as (select term, key, count(*) as tf from {terms_sql("docs", "key", "text")} group by 1, 2),
 lengths as (select docs.key, coalesce(sum(tf), 0) as len from docs left join postings using (key) group by 1),
@@ -236,9 +245,10 @@ select tolerance, case when tolerance = 0 then 'strict' when tolerance % 86400 =
   (select count(*) from offs where not gold and late > 0 and late <= tolerance) as others_admitted from tol""",
     "offset_buckets": f"""with {_OFFSETS} select gold, case when late <= 0 then '<=0 (before the question)' when late <= 3600 then '0-1h' when late <= 21600 then '1-6h'
   when late <= 86400 then '6-24h' when late <= 172800 then '1-2d' when late <= 604800 then '2-7d' else '>7d' end as bucket, count(*) as n from offs group by 1, 2""",
-    "diagnose_misses": f"""with {_MISSES} select q, coalesce(gold_claims, 0) as gold_claims, cast(best_rank as int) as best_rank, coalesce(gold_in_depth, 0) as gold_in_depth,
+    **{name: f"""with {_MISSES.replace("@evidence@", evidence)} select q, coalesce(gold_claims, 0) as gold_claims, cast(best_rank as int) as best_rank, coalesce(gold_in_depth, 0) as gold_in_depth,
   case when gold_claims is null then 'EXTRACTION' when best_rank > candidates and candidates > 0 then 'RANKING' when best_rank is not null and dropped_future > 0 then 'FILTER'
-    when best_rank is not null then 'RANKING' else 'EXTRACTION' end as verdict from misses left join n using (q) left join r using (q)""",
+    when best_rank is not null then 'RANKING' else 'EXTRACTION' end as verdict from misses left join n using (q) left join r using (q)"""
+    for name, evidence in (("diagnose_misses", "evidence"), ("diagnose_second", "evidence[2:2]"))},
     "diagnose_refusals": f"""with {_STUB} select question_type, count(*) as refusals, count(*) filter (where hit) as gold_present, count(*) filter (where not hit) as gold_absent
 from judged where kind in ('false_refusal', 'retrieval_miss') group by 1""",
     "done_ids": f"with {_RUNS} select question_id from runs where coalesce(status <> 'unmeasured', true)",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memq.functions import text
 from memq.operators import memory
-from memq.plans.common import BLANK, LATEST_ANSWERS, LATEST_CLAIMS, entity, latest_answers, latest_claims, predicate, strip, table
+from memq.plans.common import BLANK, LATEST_ANSWERS, LATEST_CLAIMS, entity, latest_answers, latest_claims, predicate, spaced, strip, table
 
 
 def statements(spark: SparkSession, d: str) -> DataFrame:
@@ -14,7 +15,9 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def role_rejects(spark: SparkSession, d: str) -> DataFrame:
-    return memory.role_rejects(table(spark, d, "turns"))
+    """Turns, and documents written as turns whose role is their kind: what is neither user nor assistant."""
+    kinds = table(spark, d, "documents").select(F.col("doc_kind").alias("role"))
+    return memory.role_rejects(table(spark, d, "turns").select("role").unionByName(kinds))
 
 
 def sessions_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +60,10 @@ def out_of_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return memory.session_collisions(table(spark, d, "turns"))
+    """Places under which more than one text is stored, by exact id over turns and by the words of the id over session dates."""
+    turns = table(spark, d, "turns").select("session_id", "idx", "content")
+    dates = table(spark, d, "sessions").select(text.spaced_words("session_id").alias("session_id"), F.lit(-1).alias("idx"), F.col("session_date").alias("content"))
+    return memory.session_collisions(turns.unionByName(dates))
 
 
 def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +118,7 @@ t as (select session_id as sid, idx, coalesce(content, '') as content, role from
   qualify row_number() over (partition by session_id, idx order by coalesce(content, '') desc, role desc) = 1)
 select sid || '|' || idx as nkey, greatest(1, ('0x' || substr(sha256('Statement|' || sid || '|' || idx), 1, 13))::bigint) as id,
   sid, idx, role, ts, greatest(1, cast(ceil(length(content) / 12000.0) as int)) as nchunks, length(content) as chars from t left join s using (sid)""",
-    "role_rejects": "select role, count(*) as n from turns where not coalesce(role in ('user', 'assistant'), false) group by 1",
+    "role_rejects": "select role, count(*) as n from (select role from turns union all select doc_kind from documents) where not coalesce(role in ('user', 'assistant'), false) group by 1",
     "sessions_latest": "select session_id as sid, ts, turns from sessions where session_id is not null qualify row_number() over (partition by session_id order by line_no desc) = 1",
     "sessions_without_turns": "select distinct session_id as sid from sessions where session_id is not null and session_id not in (select session_id from turns where session_id is not null)",
     "entities": f"""
@@ -131,8 +137,9 @@ union all select 'duplicate_in_response', count(*) from firsts where nth > 1 hav
 with {_SLOTS}, w as (select question_id, lag(ts) over (partition by question_id order by pos) > ts as a, lag(ts) over (partition by question_id order by nth) > ts as b from slots),
 g as (select question_id, max(coalesce(a, false)::int) as a, max(coalesce(b, false)::int) as b from w group by 1)
 select count(*) as instances, cast(sum(a) as bigint) as stored_unsorted, cast(sum(b) as bigint) as loaded_unsorted from g""",
-    "session_collisions": """
-select session_id as sid, idx, count(distinct coalesce(content, '')) as texts from turns where session_id is not null
+    "session_collisions": f"""
+select session_id as sid, idx, count(distinct coalesce(content, '')) as texts
+from (select session_id, idx, content from turns union all select {spaced("session_id")}, -1, session_date from sessions) where session_id is not null
 group by 1, 2 having count(distinct coalesce(content, '')) > 1""",
     "dataset_stats": f"""
 with {_SLOTS}, {_PRINTS},

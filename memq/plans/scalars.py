@@ -29,7 +29,9 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return keys.collisions(stable_ids(spark, d), "id", "nkey")
+    """Numbers of statements cut to four digits, which do collide; whole ones must not."""
+    ids = stable_ids(spark, d)
+    return keys.collisions(ids.unionByName(ids.select("nkey", (F.col("id") % 10_000).alias("id"))), "id", "nkey")
 
 
 def claim_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -77,10 +79,9 @@ SQL = {
 select nkey, greatest(1, ('0x' || substr(sha256('Statement|' || nkey), 1, 13))::bigint) as id
 from (select distinct session_id || '|' || idx as nkey from turns where session_id is not null and idx is not null)""",
     "id_collisions": """
-select id, min(nkey) as a, max(nkey) as b from (
-  select nkey, greatest(1, ('0x' || substr(sha256('Statement|' || nkey), 1, 13))::bigint) as id
+with i as (select nkey, greatest(1, ('0x' || substr(sha256('Statement|' || nkey), 1, 13))::bigint) as id
   from (select distinct session_id || '|' || idx as nkey from turns where session_id is not null and idx is not null))
-group by id having min(nkey) <> max(nkey)""",
+select id, min(nkey) as a, max(nkey) as b from (select * from i union all select nkey, id % 10000 from i) group by id having min(nkey) <> max(nkey)""",
     "claim_keys": "select line_no, concat_ws('|', sid, turn, subj, pred, substr(sha256(obj), 1, 8)) as nkey from claims where obj is not null",
     "session_dates": r"""
 with s as (select *, try_strptime(case when regexp_matches(session_date, '^\d{4}/\d{1,2}/\d{1,2} \([A-Za-z]{3}\) \d{1,2}:\d{1,2}$')

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from memq.functions import terms
 from memq.operators import answering, chains, gate, memory
 from memq.plans.chains import LINKS
-from memq.plans.common import LATEST_CLAIMS, QUERY_SET, latest_claims, query_set, table
+from memq.plans.common import LATEST_CLAIMS, QUERY_SET, latest_claims, query_set, strip, table
 from memq.plans.scalars import terms_sql
+from memq.session import materialize
 
 CANDIDATES = 12
+NO_SUCH = "no such claim"
 
 
 def _index(spark: SparkSession, d: str):
@@ -71,16 +73,70 @@ def answer_status(spark: SparkSession, d: str) -> DataFrame:
     return answering.free_outcome(gather_report(spark, d))
 
 
+def _items(spark: SparkSession, d: str, wanted: DataFrame) -> DataFrame:
+    claims = latest_claims(spark, d).withColumnRenamed("nkey", "key")
+    return answering.evidence_items(wanted.select("key").distinct(), claims, table(spark, d, "turns"), chains.supersedes(claims))
+
+
+def _answered(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(questions, contributions, report, gathered, items, prompts) of the query set, each computed once."""
+    claims, asked, contribs = _contribs(spark, d)
+    contribs = materialize(contribs)
+    asked = materialize(asked.where("asked_at is not null"))
+    hits = materialize(gate.search(contribs, CANDIDATES))
+    judged = answering.as_of(hits, claims.select(F.col("nkey").alias("key"), "sid", "turn", "ts"), asked.select("q", "asked_at"))
+    judged = materialize(judged)
+    gathered = materialize(answering.gather(judged))
+    matched = materialize(gate.matched_terms(contribs, judged.select("q", "key")))
+    report_ = materialize(answering.gather_report(asked, judged, matched))
+    items = materialize(_items(spark, d, gathered))
+    return asked, matched, report_, gathered, items, answering.prompts(asked, gathered, items, report_)
+
+
+def evidence_items(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of each claim that the query set gathered, and of a key that no claim has."""
+    wanted = gather_asof(spark, d).select("key").unionByName(spark.createDataFrame([(NO_SUCH,)], "key string"))
+    older = F.array_join(F.transform("replaced", lambda r: F.concat_ws("@", r["obj"], r["ts"].cast("string"))), ";")
+    return _items(spark, d, wanted).withColumns({"text": F.md5("text"), "replaced": older})
+
+
+def gather_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The union of the terms that each question's candidates matched."""
+    return _answered(spark, d)[2].select("q", "hits", "kept", F.array_join("terms", " ").alias("terms"))
+
+
+def gather_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence in session mode: whole sessions are candidates, the most relevant claims are kept."""
+    claims, asked, contribs = _contribs(spark, d)
+    hits = gate.search_sessions(contribs, claims.select(F.col("nkey").alias("key"), "sid")).drop("sid")
+    facts = claims.select(F.col("nkey").alias("key"), "sid", "turn", "ts")
+    return answering.gather(answering.as_of(hits, facts, asked.where("asked_at is not null").select("q", "asked_at")))
+
+
 def rendered_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """The evidence block of each question, newest first."""
-    items = gather_asof(spark, d).join(latest_claims(spark, d).select(F.col("nkey").alias("key"), "subj", "pred", "obj", "kind"), "key")
-    item = F.struct("n", "subj", "pred", "obj", "kind", "ts", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<struct<obj:string,ts:bigint>>").alias("replaced"))
-    return items.groupBy("q").agg(answering.render_evidence(F.array_sort(F.collect_list(item))).alias("block"))
+    """The prompt of each question: when it is asked, and the evidence with its text and what it replaced, newest first."""
+    return _answered(spark, d)[5]
+
+
+def first_piece(prompt: str) -> dict:
+    """A stand-in for a model: it repeats the first piece of evidence and cites it."""
+    return {"answer": prompt.split("Evidence:\n[1] ", 1)[1].split("  (kind=", 1)[0], "used": [1]}
+
+
+def answer_record(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a stand-in for a model, with every citation on a row of its own."""
+    _, matched, report_, gathered, items, prompts = _answered(spark, d)
+    made = answering.records(materialize(answering.answer(prompts, first_piece)), gathered, items, matched, report_)
+    each = made.select("q", "status", "answer", "reason", "retrieval.hits", "retrieval.kept", F.explode_outer("evidence").alias("e"))
+    return each.select(
+        "q", "status", "answer", "reason", "hits", "kept", "e.n", "e.used", "e.claim_key", "e.session", "e.turn", "e.said_at", F.array_join("e.triple", "|").alias("triple"),
+        F.array_join(F.transform("e.matched_terms", lambda t: t["term"]), " ").alias("terms"), F.array_join("e.superseded", ";").alias("superseded"),
+    )
 
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_index_stats, bm25_topk, bm25_terms, bm25_sessions, evidence_for, gather_asof, gather_report, answer_status, rendered_evidence)
+    for f in (bm25_index_stats, bm25_topk, bm25_terms, bm25_sessions, evidence_for, gather_asof, gather_report, answer_status, rendered_evidence, evidence_items, gather_terms, gather_sessions, answer_record)
 }
 
 _INDEX = f"""{LATEST_CLAIMS},
@@ -107,6 +163,29 @@ chosen as (select * from judged where outcome in ('kept', 'tolerated')
   qualify row_number() over (partition by q order by score desc, coalesce(ts, 0) desc, key) <= 6),
 numbered as (select q, cast(row_number() over (partition by q order by coalesce(ts, 0) desc, score desc, key) as int) as n, key, score, sid, turn, ts from chosen)"""
 
+_SESSIONS = """totals as (select q, sid, round(sum(score), 6) as total from ranked join docs using (key) where rank <= 200 and sid is not null group by 1, 2),
+best as (select q, sid from totals qualify row_number() over (partition by q order by total desc, sid) <= 3),
+shelf as (select key, sid from docs where sid is not null qualify row_number() over (partition by sid order by key) <= 40),
+hits as (select b.q, s.key, b.sid, coalesce(r.score, 0) as score from best b join shelf s using (sid) left join (select * from ranked where rank <= 200) r on r.q = b.q and r.key = s.key)"""
+_CHECKED = f"""with recursive {LINKS.replace(LATEST_CLAIMS + ",", "@")}""".replace("@", f"{_AS_OF},") + f""",
+w as (select later as start, 1 as hop, earlier as node from links union all select w.start, w.hop + 1, l.earlier from w join links l on l.later = w.node where w.hop < 5),
+behind as (select start, string_agg(concat_ws('@', obj, ts), ';' order by coalesce(ts, 0) desc, hop) as replaced, string_agg(obj, ';' order by coalesce(ts, 0) desc, hop) as older,
+  string_agg('    replaced an earlier value: ' || obj || ' (said ' || coalesce(strftime(to_timestamp(ts) at time zone 'UTC', '%Y-%m-%d (%a)'), 'unknown') || ')', chr(10) order by coalesce(ts, 0) desc, hop) as told
+  from w join claims0 on line_no = node group by 1),
+said as (select session_id as sid, idx, coalesce(content, '') as content from turns where role in ('user', 'assistant') and session_id is not null and idx is not null
+  qualify row_number() over (partition by session_id, idx order by coalesce(content, '') desc, role desc) = 1),
+keys as (select distinct key from numbered union select '{NO_SUCH}'),
+full_items as (select k.key, c.line_no is not null as found, c.subj, c.pred, c.obj, c.kind, c.sid, c.turn, c.ts, s.sid || '|' || s.idx as statement, s.content, b.replaced, b.told, c.line_no as line
+  from keys k left join claims0 c on c.nkey = k.key left join said s on s.sid = c.sid and s.idx = c.turn left join behind b on b.start = c.line_no),
+items as (select * exclude (content, told, line), md5(content) as text from full_items)"""
+_BLOCKS = """pieces as (select q, n, '[' || n || '] ' || concat_ws(' ', subj, pred, obj) || '  (kind=' || coalesce(kind, 'None') || ', said ' ||
+    coalesce(strftime(to_timestamp(i.ts) at time zone 'UTC', '%Y-%m-%d (%a)'), 'unknown') || ')' ||
+    case when length(content) > 700 then chr(10) || '    said: ' || substr(content, 1, 700) || '...' when length(content) > 0 then chr(10) || '    said: ' || content else '' end ||
+    coalesce(chr(10) || told, '') as piece from numbered join full_items i using (key)),
+blocks as (select q, string_agg(piece, chr(10) order by n) as block from pieces group by 1),
+prompts as (select r.q, hits, 'Question: ' || question || chr(10) || 'Asked at: ' || strftime(to_timestamp(asked_at) at time zone 'UTC', '%Y-%m-%d (%a)') || chr(10) || chr(10) || 'Evidence:' || chr(10) || block as prompt
+  from report r join asked using (q) left join blocks using (q))"""
+
 SQL = {
     "bm25_index_stats": f"with {_INDEX} select term, df, n, round(avg_len, 6) as avg_len from frequencies, corpus",
     "bm25_topk": f"with {_SCORED} select q, key, score, cast(rank as int) as rank from ranked where rank <= {CANDIDATES}",
@@ -126,7 +205,20 @@ from claims0 c left join t on t.sid = c.sid and t.idx = c.turn left join links o
     "gather_report": f"with {_AS_OF} select * from report",
     "answer_status": f"""with {_AS_OF} select q, case when kept = 0 then 'absent' else 'unmeasured' end as status,
   case when kept = 0 and hits > 0 then '{answering.NOTHING_AS_OF}' when kept = 0 then '{answering.NO_MATCH}' else '{answering.NO_MODEL}' end as reason from report""",
-    "rendered_evidence": f"""with {_AS_OF} select q, string_agg('[' || n || '] ' || concat_ws(' ', c.subj, c.pred, c.obj) || '  (kind=' || coalesce(c.kind, 'None') || ', said ' ||
-  coalesce(strftime(to_timestamp(numbered.ts) at time zone 'UTC', '%Y-%m-%d (%a)'), 'unknown') || ')', chr(10) order by n) as block
-from numbered join claims0 c on c.nkey = key group by 1""",
+    "evidence_items": f"{_CHECKED} select * from items",
+    "gather_terms": f"""with {_AS_OF}, t as (select j.q, string_agg(distinct term, ' ' order by term) as terms from judged j join contribs c using (q, key) where contrib > 0 group by 1)
+select q, hits, kept, coalesce(terms, '') as terms from report left join t using (q)""",
+    "gather_sessions": f"""with {_SCORED}, {_SESSIONS},
+j as (select h.q, h.key, h.score, c.sid, c.turn, c.ts from hits h join (select q, asked_at from asked where asked_at is not null) using (q) join claims0 c on c.nkey = h.key
+  where not coalesce(c.ts - asked_at > 86400, false)),
+chosen as (select * from j qualify row_number() over (partition by q order by score desc, coalesce(ts, 0) desc, key) <= 6)
+select q, cast(row_number() over (partition by q order by coalesce(ts, 0) desc, score desc, key) as int) as n, key, score, sid, turn, ts from chosen""",
+    "rendered_evidence": f"{_CHECKED}, {_BLOCKS} select q, hits, prompt from prompts",
+    "answer_record": f"""{_CHECKED}, {_BLOCKS},
+f as (select q, string_agg(term, ' ' order by round(contrib, 4) desc, term) as terms, key from numbered join contribs using (q, key) where contrib > 0 group by q, key),
+h as (select q, {strip("concat_ws(' ', i.subj, i.pred, i.obj)")} as answer from numbered join full_items i using (key) where n = 1)
+select r.q, case when kept = 0 then 'absent' else 'answered' end as status, answer, case when kept = 0 and hits > 0 then '{answering.NOTHING_AS_OF}' when kept = 0 then '{answering.NO_MATCH}' end as reason,
+  hits, kept, n, n = 1 as used, m.key as claim_key, i.sid as session, i.turn, i.ts as said_at, concat_ws('|', i.subj, i.pred, i.obj) as triple, terms,
+  older as superseded
+from report r left join h using (q) left join numbered m using (q) left join full_items i on i.key = m.key left join f on f.q = m.q and f.key = m.key left join behind b on b.start = i.line""",
 }

@@ -42,14 +42,43 @@ def timetravel_reads(spark: SparkSession, d: str) -> DataFrame:
     return out.select("pred", "subj", "mark", timeparse.day("mark").alias("day"), "line_no", "obj")
 
 
-QUERIES = {f.__name__: f for f in (changed_facts, ranked_facts, change_marks, timetravel_reads)}
+def timetravel_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The values behind the newest one of each changed fact, along up to five links."""
+    claims = latest_claims(spark, d)
+    facts = changed_facts(spark, d).select("pred", "subj")
+    newest = timetravel.mentions(claims).join(facts, ["pred", "subj"]).groupBy("pred", "subj").agg(F.max_by("line_no", F.struct("ts", "line_no")).alias("start"))
+    steps = chains.walk(chains.supersedes(claims), newest.select("start"))
+    older = claims.select(F.col("line_no").alias("node"), "obj", timeparse.day("ts").alias("day"))
+    return newest.join(steps, "start").join(older, "node").select("pred", "subj", "hop", "obj", "day")
+
+
+QUERIES = {f.__name__: f for f in (changed_facts, ranked_facts, change_marks, timetravel_reads, timetravel_chain)}
 
 _FACTS = f"""{LATEST_CLAIMS},
 m as (select pred, subj, obj, ts, line_no from claims0 where pred is not null and obj is not null and ts is not null),
 facts as (select pred, subj, count(distinct obj) as values, count(*) as mentions, max(ts) - min(ts) as span from m group by 1, 2
   having count(distinct obj) between 2 and 8 and count(*) <= 40)"""
+_MARKS = f"""{_FACTS},
+o as (select pred, subj, ts, obj, row_number() over (partition by pred, subj order by ts, line_no) as k, count(*) over (partition by pred, subj) as n from m join facts using (pred, subj)),
+f as (select pred, subj, k, ts - 86400 as begins, [ts] as marked, obj as seen from o where k = 1 union all
+  select o.pred, o.subj, o.k, f.begins, case when o.obj is distinct from seen and not list_contains(marked, o.ts) then list_append(marked, o.ts) else marked end,
+    case when o.obj is distinct from seen and not list_contains(marked, o.ts) then o.obj else seen end
+  from f join o on o.pred = f.pred and o.subj = f.subj and o.k = f.k + 1),
+whole as (select f.* from f join o using (pred, subj, k) where k = n),
+thin as (select pred, subj, begins, case when len(marked) > 6 then list_transform(range(0, 6), lambda i: marked[cast(round_even(i * (len(marked) - 1) / 5.0, 0) as int) + 1]) else marked end as marked from whole),
+marks as (select pred, subj, unnest(list_prepend(begins, marked)) as mark from thin)"""
 
 SQL = {
+    "change_marks": f"with recursive {_MARKS} select pred, subj, mark from marks",
+    "timetravel_reads": f"""with recursive {_MARKS}
+select t.pred, t.subj, t.mark, strftime(to_timestamp(t.mark) at time zone 'UTC', '%Y-%m-%d') as day, m.line_no, m.obj from (select distinct pred, subj, mark from marks) t
+left join m on m.pred = t.pred and m.subj = t.subj and m.ts <= t.mark qualify row_number() over (partition by t.pred, t.subj, t.mark order by m.ts desc nulls last, m.line_no desc) = 1""",
+    "timetravel_chain": f"""with recursive {LINKS},
+m as (select pred, subj, obj, ts, line_no from claims0 where pred is not null and obj is not null and ts is not null),
+facts as (select pred, subj from m group by 1, 2 having count(distinct obj) between 2 and 8 and count(*) <= 40),
+newest as (select pred, subj, line_no as start from m join facts using (pred, subj) qualify row_number() over (partition by pred, subj order by ts desc, line_no desc) = 1),
+w as (select later as start, 1 as hop, earlier as node from links where later in (select start from newest) union all select w.start, w.hop + 1, l.earlier from w join links l on l.later = w.node where w.hop < 5)
+select n.pred, n.subj, hop, c.obj, coalesce(strftime(to_timestamp(c.ts) at time zone 'UTC', '%Y-%m-%d'), 'unknown') as day from newest n join w using (start) join claims0 c on c.line_no = node""",
     "changed_facts": f"with {_FACTS} select * from facts",
     "ranked_facts": f"""with recursive {LINKS},
 w as (select later as start, 1 as hop, earlier as node from links union all select w.start, w.hop + 1, l.earlier from w join links l on l.later = w.node where w.hop < 5),

@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder, deleted like what materialize() writes."""
+    path = f"{shared_dir(spark)}/memq-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df below the shared folder and read it back.
 
@@ -51,10 +58,9 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     and gives later joins an exact size. Removed when the Python process ends, or by release().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memq-{uuid.uuid4().hex}"
+    path = scratch(spark)
     w = df.write.mode("error").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    _WRITTEN.append((spark, path))
     return written(spark.read.schema(df.schema).parquet(path))
 
 

@@ -14,10 +14,32 @@ RAW = (
 )
 
 
+def first_character(spark: SparkSession, path: str) -> str:
+    """The first character of a file, or of the first file of a folder, that is no blank; empty if there is none. Reads no more than that."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        files = sorted(s.getPath().toString() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", ".")))
+        if not files:
+            return ""
+        p = jvm.org.apache.hadoop.fs.Path(files[0])
+    stream = fs.open(p)
+    try:
+        while (byte := stream.read()) >= 0:
+            if not chr(byte).isspace() and byte not in (0xEF, 0xBB, 0xBF):
+                return chr(byte)
+        return ""
+    finally:
+        stream.close()
+
+
 def read(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Raw instances with file_order. The file must be one JSON array; ``limit`` takes the first ones, it does not sample."""
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1).alias("c")).first()
-    if first is None or first.c != "[":
+    """Raw instances with file_order. A file must be one JSON array; ``limit`` takes the first ones, it does not sample.
+
+    One file is parsed by one task, record by record; a folder of several such files is read in parallel.
+    """
+    if first_character(spark, path) != "[":
         raise ValueError("the file holds no JSON array")
     rows = spark.read.schema(RAW).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("file_order", F.monotonically_increasing_id())
     return rows if limit is None else rows.orderBy("file_order").limit(limit)

@@ -38,7 +38,8 @@ def sessions(stream: DataFrame, at: str, by: list[str], gap: str = "30 minutes",
 
 def latest_values(stream: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:
     """(keys, ts, value) whenever a key's newest value changes, by time and not by arrival; state is one row per key."""
-    schema = stream.select(*keys, F.col(ts).alias("ts"), F.col(value).alias("value")).schema
+    schema = stream.select(*keys, F.col(ts).cast("bigint").alias("ts"), F.col(value).alias("value")).schema
+    kept = f"ts bigint, value {schema['value'].dataType.simpleString()}"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, now = state.get if state.exists else (None, None)
@@ -53,7 +54,7 @@ def latest_values(stream: DataFrame, keys: list[str], value: str, ts: str) -> Da
                 yield pd.DataFrame([(*key, at, now)], columns=schema.fieldNames())
 
     rows = stream.select(*keys, F.col(ts).cast("bigint").alias("ts"), F.col(value).alias("value"))
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "ts bigint, value string", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def sink(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
@@ -61,10 +62,20 @@ def sink(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") ->
     return stream.writeStream.format(fmt).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch overwrites its own folder, so a batch that is repeated after a failure replaces itself."""
+def batch_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Each micro-batch overwrites its own folder, so a batch that is repeated after a failure replaces itself.
+
+    Keys that come in several batches stay; upserted() reads the newest row of each.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted(spark: SparkSession, path: str, key: list[str], order: str) -> DataFrame:
+    """The table behind batch_sink() as an upsert by key: of each key the row with the greatest ``order``, ties to the later batch."""
+    rows = spark.read.parquet(path)
+    last = rows.dropna(subset=key).groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), F.struct(order, "batch")).alias("__r"))
+    return last.select(*key, "__r.*").drop("batch")

@@ -49,9 +49,9 @@ def test_windows_and_sessions(spark, tmp_path):
     assert [r[-1] for r in sorted(found)][:2] == [2, 1]
 
 
-def test_upsert_sink_is_idempotent(spark, tmp_path):
+def test_batch_sink_is_idempotent(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = stored(spark, src, [("1", 0, "p", "x"), ("2", 1, "p", "x")])
     for ck in ("one", "two"):  # the same batch once more, as after a lost checkpoint
-        logs.upsert_sink(logs.read_stream(spark, src, schema), out, str(tmp_path / ck)).awaitTermination()
+        logs.batch_sink(logs.read_stream(spark, src, schema), out, str(tmp_path / ck)).awaitTermination()
     assert spark.read.parquet(out).count() == 2
