@@ -15,6 +15,14 @@ LISTED, SLOTS = 100_000, 65_536
 WORDS = 1 << 20
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """A beginning that no column of the frames has, for names used inside an operator."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for df in frames for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def _salts(unique: DataFrame, keys: list[str], n: str, per_task: int) -> tuple[DataFrame | None, DataFrame | None]:
     """((hash, salts) of the LISTED largest hot keys, (slot, salts) that covers all others); None where not needed."""
     hot = (
@@ -52,20 +60,22 @@ def salted_join(
     right = unique.drop(n) if n not in keys else unique
     if listed is None:
         return rows.join(right, keys, how)
-    kinds = dict(unique.dtypes)
+    kinds, p = dict(unique.dtypes), free_prefix(rows, unique)
+    hash_, salts, slot, slot_salts, salt = (f"{p}{x}" for x in ("hash", "salts", "slot", "slot_salts", "salt"))
+    listed = listed.toDF(hash_, salts)
 
     def with_salts(df: DataFrame) -> DataFrame:
-        df = df.withColumn("__hash", F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys]))
-        df = df.join(F.broadcast(listed), "__hash", "left")
+        df = df.withColumn(hash_, F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys]))
+        df = df.join(F.broadcast(listed), hash_, "left")
         if slots is not None:
-            df = df.withColumn("__slot", F.pmod("__hash", F.lit(SLOTS))).join(F.broadcast(slots), "__slot", "left")
-            df = df.withColumn("__salts", F.coalesce("__salts", "__slot_salts")).drop("__slot", "__slot_salts")
-        return df.withColumn("__salts", F.coalesce("__salts", F.lit(1))).drop("__hash")
+            df = df.withColumn(slot, F.pmod(hash_, F.lit(SLOTS))).join(F.broadcast(slots.toDF(slot, slot_salts)), slot, "left")
+            df = df.withColumn(salts, F.coalesce(salts, slot_salts)).drop(slot, slot_salts)
+        return df.withColumn(salts, F.coalesce(salts, F.lit(1))).drop(hash_)
 
     others = [c for c in rows.columns if c not in keys] or keys
-    left = with_salts(rows).withColumn("__salt", F.pmod(F.xxhash64(*others), F.col("__salts")).cast("int")).drop("__salts")
-    right = with_salts(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    left = with_salts(rows).withColumn(salt, F.pmod(F.xxhash64(*others), F.col(salts)).cast("int")).drop(salts)
+    right = with_salts(right).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(salts) - 1))).drop(salts)
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def small_side(df: DataFrame, most: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame | None:
@@ -89,12 +99,14 @@ def may_hold(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     kinds = dict(wanted.dtypes)
     words = max(1, min(WORDS, wanted.count() // 4))
     bit = F.pmod(F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys], F.lit("held")), F.lit(words * 64))
-    inside = F.expr("shiftleft(1L, cast(pmod(__bit, 64) as int))")
-    filter_ = wanted.select(bit.alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(F.bit_or(inside).alias("__bits"))
+    p = free_prefix(rows, wanted)
+    at, word, bits = f"{p}bit", f"{p}word", f"{p}bits"
+    inside = F.expr(f"shiftleft(1L, cast(pmod({at}, 64) as int))")
+    held = wanted.select(bit.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(inside).alias(bits))
     return (
-        rows.withColumn("__bit", bit)
-        .withColumn("__word", F.shiftright("__bit", 6))
-        .join(F.broadcast(filter_), "__word")
-        .where(F.getbit("__bits", F.pmod("__bit", F.lit(64)).cast("int")) == 1)
-        .select(*rows.columns)
+        rows.withColumn(at, bit)
+        .withColumn(word, F.shiftright(at, 6))
+        .join(F.broadcast(held), word)
+        .where(F.getbit(bits, F.pmod(at, F.lit(64)).cast("int")) == 1)
+        .select(*[f"`{c}`" for c in rows.columns])
     )

@@ -251,6 +251,15 @@ select tolerance, case when tolerance = 0 then 'strict' when tolerance % 86400 =
     for name, evidence in (("diagnose_misses", "evidence"), ("diagnose_second", "evidence[2:2]"))},
     "diagnose_refusals": f"""with {_STUB} select question_type, count(*) as refusals, count(*) filter (where hit) as gold_present, count(*) filter (where not hit) as gold_absent
 from judged where kind in ('false_refusal', 'retrieval_miss') group by 1""",
+    "stratified_sample": """with r as (select question_id, min(case when coalesce(is_abstention, false) then 'abstention' else coalesce(question_type, 'unknown') end) as stratum
+  from instances where question_id is not null group by 1),
+z as (select stratum, count(*) as n from r group by 1),
+f as (select least(10, coalesce((select n from z where stratum = 'abstention'), 0), 60) as first),
+p as (select stratum, n - case when stratum = 'abstention' then first else 0 end as n from z, f),
+e as (select stratum, ((60 - first) * n) // (select sum(n) from p) as share, ((60 - first) * n) % (select sum(n) from p) as rest from p, f where n > 0),
+k as (select stratum, share + (row_number() over (order by rest desc, stratum) <= 60 - first - (select sum(share) from e))::int as take from e, f),
+t as (select stratum, case when (select sum(n) from z) <= 60 then n else coalesce(take, 0) + case when stratum = 'abstention' then first else 0 end end as take from z left join k using (stratum), f)
+select question_id, stratum from r join t using (stratum) qualify row_number() over (partition by stratum order by sha256(question_id || '|7'), question_id) <= take""",
     "done_ids": f"with {_RUNS} select question_id from runs where coalesce(status <> 'unmeasured', true)",
     "todo_ids": f"with {_RUNS} select distinct question_id from instances where question_id not in (select question_id from runs where coalesce(status <> 'unmeasured', true))",
     "run_mix": f"with {_RUNS} select case when is_abstention then 'abstention' else question_type end as stratum, status, count(*) as n from runs group by 1, 2",

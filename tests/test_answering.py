@@ -145,3 +145,56 @@ def test_done_ids(spark):
     df = spark.createDataFrame([(1, "a", "unmeasured"), (2, "a", "answered"), (3, "b", "answered"), (4, "b", " Unmeasured"), (5, None, "absent")], "line_no bigint, question_id string, status string")
     assert sorted(r[0] for r in evaluate.done_ids(df, False).collect()) == ["a", "b"]
     assert [r[0] for r in evaluate.done_ids(df, True).collect()] == ["a"]
+
+
+def test_evidence_items_with_text_chain_and_unknown_key(spark):
+    claims = spark.createDataFrame(
+        [(f"k{i}", i, "user", "lives_in", o, "fact", "s", i, 100 * i) for i, o in enumerate(["Rome", "Oslo", "Bern", "Kyiv"])],
+        "key string, line_no bigint, subj string, pred string, obj string, kind string, sid string, turn int, ts bigint",
+    )
+    turns = spark.createDataFrame([("s", 3, "user", "I moved to Kyiv.", True), ("s", 3, "user", None, None), ("s", 2, "system", "x", None)], "session_id string, idx int, role string, content string, has_answer boolean")
+    links = spark.createDataFrame([(3, 2), (2, 1), (1, 0)], "later bigint, earlier bigint")
+    wanted = spark.createDataFrame([("k3",), ("k2",), ("gone",)], "key string")
+    out = {r.key: r for r in answering.evidence_items(wanted, claims, turns, links).collect()}
+    assert (out["gone"].found, out["gone"].obj) == (False, None)
+    assert (out["k3"].text, out["k3"].statement) == ("I moved to Kyiv.", "s|3")
+    assert [r.obj for r in out["k3"].replaced] == ["Bern", "Oslo", "Rome"]
+    assert (out["k2"].found, out["k2"].text) == (True, None)
+    short = {r.key: r for r in answering.evidence_items(wanted, claims, turns, links, hops=1).collect()}
+    assert [r.obj for r in short["k3"].replaced] == ["Bern"]
+    assert answering.evidence_items(wanted, claims.limit(0), turns.limit(0), links.limit(0)).where("found").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("reply", "status", "said"),
+    [
+        ({"answer": "0", "used": [1]}, "answered", "0"), ({"answer": 0}, "absent", None), ({"answer": False}, "absent", None), ({"answer": None}, "absent", None), ({"answer": []}, "absent", None),
+        ({"answer": 42}, "answered", "42"), ({"answer": " \n"}, "absent", None), ({"used": [1]}, "unmeasured", None), ("text", "unmeasured", None), ({"answer": "x", "used": "all"}, "answered", "x"),
+    ],
+)
+def test_replies_are_settled(spark, reply, status, said):
+    p = spark.createDataFrame([("a", 1, "p")], "q string, hits int, prompt string")
+    out = answering.answer(p, lambda _: reply).first()
+    assert (out.status, out.answer) == (status, said)
+
+
+def test_allocation_is_whole_and_in_proportion():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        sizes = {f"s{i}": rng.randrange(0, 50) for i in range(rng.randrange(1, 8))} | {"abstention": rng.randrange(0, 20)}
+        n, floor = rng.randrange(0, 120), rng.randrange(0, 12)
+        take = evaluate.allocate(sizes, n, floor)
+        assert sum(take.values()) == min(n, sum(sizes.values()))
+        assert all(0 <= take[k] <= sizes[k] for k in take)
+        if n < sum(sizes.values()):
+            assert take.get("abstention", 0) >= min(floor, sizes["abstention"], n)
+
+
+def test_sample_does_not_depend_on_chunks(spark, monkeypatch):
+    df = spark.range(400).select(F.concat(F.lit("q"), "id").alias("question_id"), F.when(F.col("id") < 300, "a").otherwise("b").alias("question_type"), (F.col("id") % 10 == 0).alias("is_abstention"))
+    whole = {r.question_id for r in evaluate.stratified_sample(df, 40, 3, 5).collect()}
+    monkeypatch.setattr(evaluate, "RANKED", 7)
+    assert {r.question_id for r in evaluate.stratified_sample(df, 40, 3, 5).collect()} == whole
+    assert len(whole) == 40

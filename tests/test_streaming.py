@@ -55,3 +55,17 @@ def test_batch_sink_is_idempotent(spark, tmp_path):
     for ck in ("one", "two"):  # the same batch once more, as after a lost checkpoint
         logs.batch_sink(logs.read_stream(spark, src, schema), out, str(tmp_path / ck)).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_upserted_keeps_the_newest_row_of_a_key(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = stored(spark, src, [("1", 5, "p", "new"), ("2", 1, "q", "only")], [("1", 3, "p", "late")])
+    logs.batch_sink(logs.read_stream(spark, src, schema, files=1), out, str(tmp_path / "ck")).awaitTermination()
+    assert {(r.id, r.obj) for r in logs.upserted(spark, out, ["id"], "ts").collect()} == {("1", "new"), ("2", "only")}
+
+
+def test_latest_values_of_another_type(spark, tmp_path):
+    src = str(tmp_path / "in")
+    schema = stored(spark, src, [("1", 5, "p", "a"), ("2", 7, "p", "b")])
+    stream = logs.read_stream(spark, src, schema).selectExpr("pred", "cast(ts * 2 as bigint) as v", "ts")
+    assert run(spark, logs.latest_values(stream, ["pred"], "v", "ts"), "update", "numbers") == [("p", 7, 14)]
