@@ -96,7 +96,7 @@ def tips(instances: DataFrame, targets: DataFrame, claims: DataFrame, limit: int
     Strict: nothing later than the question. Ties go to the greater sid, turn, line. The newest
     place is found by as_known(), the others are the places before it, so no pairs are made.
     """
-    said = claims.select(text.entity("subj").alias("ekey"), "pred", "ts", "sid", "turn", "line_no").where("ekey is not null and pred is not null and ts is not null")
+    said = claims.where("subj is not null and pred is not null and ts is not null").select(text.entity("subj").alias("ekey"), "pred", "ts", "sid", "turn", "line_no")
     asked = instances.where("question_id is not null and asked_at is not null").select("question_id", "asked_at").distinct()
     aims = targets.select("question_id", text.entity("subj").alias("ekey"), "pred").where("ekey is not null and pred is not null").distinct()
     events = materialize(asked.join(aims, "question_id"))

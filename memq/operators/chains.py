@@ -75,10 +75,12 @@ def supersedes(claims: DataFrame, normal: Column | None = None) -> DataFrame:
     """
     votes = predicate_cardinality(claims).where("resolved = 'one'").select("pred", (F.col("one") + F.col("many")).alias("n"))
     few = small_side(votes.select("pred"))
-    rows = claims.select(
+    norm = keys.normal_object("obj") if normal is None else normal
+    present = claims.where(F.col("pred").isNotNull() & F.col("subj").isNotNull() & F.col("ts").isNotNull() & (F.col("obj") if normal is None else norm).isNotNull())
+    rows = present.select(
         "pred", text.entity("subj").alias("ekey"), "ts", F.coalesce("sid", F.lit("")).alias("sid"), F.coalesce("turn", F.lit(-1)).alias("turn"),
-        (keys.normal_object("obj") if normal is None else normal).alias("norm"), "line_no",
-    ).where("pred is not null and ekey is not null and ts is not null and norm is not null")
+        norm.alias("norm"), "line_no",
+    )
     rows = rows.join(few, "pred") if few is not None else salted_join(rows, votes, ["pred"], "n")
     return run_links(rows, ["ekey", "pred"], ["ts", "sid", "turn"], "norm", "line_no")
 

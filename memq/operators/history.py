@@ -16,9 +16,8 @@ CHUNK = 3_600
 
 def usable_claims(claims: DataFrame) -> DataFrame:
     """Claims with an entity, a predicate, a value and a time, as (ekey, pred, value, ts, sid, turn)."""
-    return claims.select(
-        text.entity("subj").alias("ekey"), "pred", text.value("obj").alias("value"), "ts", "sid", "turn"
-    ).where("ekey is not null and pred is not null and value is not null and ts is not null")
+    present = claims.where(F.col("subj").isNotNull() & F.col("pred").isNotNull() & F.col("ts").isNotNull() & text.has_words("obj"))
+    return present.select(text.entity("subj").alias("ekey"), "pred", text.value("obj").alias("value"), "ts", "sid", "turn")
 
 
 def single_valued(claims: DataFrame) -> DataFrame:
