@@ -16,7 +16,9 @@ PERIOD = 86_400
 CHUNK = 3_600
 
 
-def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts: str, order: list[str], carry: list[str], period: int = PERIOD) -> DataFrame:
+def as_known(
+    probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts: str, order: list[str], carry: list[str], period: int = PERIOD, screened: bool = False
+) -> DataFrame:
     """For each distinct probe (keys, at) the last change with ts <= at, as (keys, at, ts, carry); no row if none.
 
     The last change is by ts, then by ``order``. Snapshots hold, for each period in which a probe
@@ -25,7 +27,7 @@ def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts
     a snapshot window has at most two rows per key and period, a replay window at most 2 * period
     + 1 rows, since times are whole seconds and both sides are unique by key and second. A change
     later than the probe is never seen. Changes of keys that no probe asks for are mostly left out
-    before anything is shuffled. Null keys or times give no row.
+    before anything is shuffled; ``screened`` says that this has been done. Null keys or times give no row.
     """
     present = [F.col(k).isNotNull() for k in keys]
     ok = present[0]
@@ -34,7 +36,8 @@ def as_known(probes: DataFrame, changes: DataFrame, keys: list[str], at: str, ts
     state = F.struct(F.col(ts).alias("ts"), *[c for c in dict.fromkeys([*order, *carry])])
     asked = materialize(probes.where(ok & F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at")).distinct().withColumn("__period", F.floor(F.col("__at") / period)))
     log = materialize(
-        may_hold(changes.where(ok & F.col(ts).isNotNull()), asked, keys)
+        (changes if screened else may_hold(changes, asked, keys))
+        .where(ok & F.col(ts).isNotNull())
         .groupBy(*keys, F.col(ts).alias("__at"))
         .agg(F.max(state).alias("__state"))
         .withColumn("__period", F.floor(F.col("__at") / period))
@@ -71,8 +74,9 @@ def question_facts(instances: DataFrame, targets: DataFrame, claims: DataFrame)
     asked = instances.where("question_id is not null and asked_at is not null").select("question_id", "asked_at").distinct()
     aims = targets.select("question_id", text.entity("subj").alias("ekey"), "pred").where("ekey is not null and pred is not null").distinct()
     events = asked.join(aims, "question_id")
-    per_probe = events.groupBy("ekey", "pred", "asked_at").agg(F.count("*").alias("n"))
-    found = as_known(per_probe, usable_claims(claims), ["ekey", "pred"], "asked_at", "ts", ["sid", "turn"], ["sid", "turn", "value"])
+    events = materialize(events)
+    per_probe = materialize(events.groupBy("ekey", "pred", "asked_at").agg(F.count("*").alias("n")))
+    found = as_known(per_probe, usable_claims(claims, per_probe), ["ekey", "pred"], "asked_at", "ts", ["sid", "turn"], ["sid", "turn", "value"], screened=True)
     counted = found.join(per_probe, ["ekey", "pred", "asked_at"])
     return salted_join(events, counted, ["ekey", "pred", "asked_at"], "n")
 

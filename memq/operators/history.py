@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memq.functions import text
-from memq.operators.skew import salted_join, small_side
+from memq.operators.skew import may_hold, salted_join, small_side
 from memq.session import materialize
 
 #: Seconds of one chunk of a timeline.
 CHUNK = 3_600
 
 
-def usable_claims(claims: DataFrame) -> DataFrame:
-    """Claims with an entity, a predicate, a value and a time, as (ekey, pred, value, ts, sid, turn)."""
+def usable_claims(claims: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Claims with an entity, a predicate, a value and a time, as (ekey, pred, value, ts, sid, turn).
+
+    With ``wanted``, a written table with ekey and pred, claims of most other keys are left out before values are made.
+    """
     present = claims.where(F.col("subj").isNotNull() & F.col("pred").isNotNull() & F.col("ts").isNotNull() & text.has_words("obj"))
-    return present.select(text.entity("subj").alias("ekey"), "pred", text.value("obj").alias("value"), "ts", "sid", "turn")
+    keyed = present.select(text.entity("subj").alias("ekey"), "pred", "obj", "ts", "sid", "turn")
+    near = keyed if wanted is None else may_hold(keyed, wanted, ["ekey", "pred"])
+    return near.select("ekey", "pred", text.value("obj").alias("value"), "ts", "sid", "turn")
 
 
 def single_valued(claims: DataFrame) -> DataFrame:
