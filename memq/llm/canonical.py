@@ -27,10 +27,8 @@ def dictionary(rows: DataFrame, column: str, parts: Column) -> DataFrame:
     value are sorted, so the order of parts does not matter, while repeated parts count. A value
     that is null or whose array is null or empty is left out.
     """
-    values = (
-        rows.groupBy(column).agg(F.count("*").alias("__n")).withColumn("__parts", parts).where(F.col(column).isNotNull() & (F.size("__parts") > 0))
-    )
-    numbered = _numbered(values)
+    values = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    numbered = _numbered(values.withColumn("__parts", parts))  # a filter on the parts here would make them twice
     each = numbered.select("__id", F.explode("__parts").alias("__part"))
     parts_ids = written(_numbered(each.groupBy("__part").agg(F.count("*").alias("__uses"))).withColumnRenamed("__id", "__part_id"))
     few = small_side(parts_ids.drop("__uses"), BROADCAST_ROWS)
