@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import bisect
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,25 +20,35 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Items of one length that one task ranks.
 CHUNK = 50_000
+#: Largest vocabulary file.
+MOST_BYTES = 32 << 20
 _ENCODERS: dict = {}
 
 
-def encoder(path: str):
-    """A tiktoken encoder for a file of ranks; one per worker and path."""
+def vocabulary(path: str) -> bytes:
+    """A file of ranks as it is on the driver; more than MOST_BYTES is an error, since it is broadcast."""
+    data = Path(path).read_bytes()
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
+    return data
+
+
+def encoder(path: str, data: bytes):
+    """A tiktoken encoder for the contents of a file of ranks; one per worker and path."""
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         _ENCODERS[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
 def token_counts(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens): whole texts; null counts as empty."""
+    """(key, n_tokens): whole texts; null counts as empty. The vocabulary is read on the driver, so workers need not have the file."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, shared.value)
         for b in batches:
             yield pd.DataFrame({key: b[key], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b[text]]})
 

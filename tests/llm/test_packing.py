@@ -55,7 +55,7 @@ def test_bad_lengths():
 
 
 def test_frame(spark):
-    enc = packing.encoder(packing.TOKENIZER)
+    enc = packing.encoder(packing.TOKENIZER, packing.vocabulary(packing.TOKENIZER))
     texts = ["", None, "one two three", "one two three", "word " * 300, " ".join(map(str, range(400))), "é" * 200]
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id bigint, text string, container string, rank int")
     out = packing.assign(df, "doc_id", "text", capacity=100).collect()
