@@ -11,6 +11,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -52,6 +53,32 @@ def results(headline: DataFrame, regimes: DataFrame, abstention: DataFrame) -> s
     return "\n".join(parts) + "\n"
 
 
+def capability_page(checks: DataFrame, latest: DataFrame, overturned: DataFrame, most: int = 10_000) -> str:
+    """What probes found: counts, verdicts that a later probe reversed, what works, what does not, and what was never reached.
+
+    Frames as sources.logs makes them; of each name the newest verdict that was reached counts, and
+    a name that no probe reached is unknown, not unsupported. More than ``most`` names are an error.
+    """
+    rows = {r.name: r for r in latest.take(most + 1)}
+    if len(rows) > most:
+        raise ValueError(f"more than {most} names")
+    counts = {r.verdict: r.n for r in checks.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    probes = checks.select("probe").distinct().count()
+    texts = checks.join(latest.select("name", "probe", "verdict"), ["name", "probe", "verdict"]).groupBy("name").agg(F.max("query").alias("query"), F.max("detail").alias("detail"))
+    said = {r.name: r for r in texts.collect()}
+    skipped = sorted(r.name for r in checks.where("verdict = 'SKIPPED'").join(latest.select("name"), "name", "left_anti").select("name").distinct().take(most))
+    short = lambda t, n: " ".join((t or "").split())[:n]
+    lines = ["# Capabilities", "", f"{sum(counts.values())} checks in {probes} probes: {counts.get('WORKS', 0)} worked, {counts.get('FAILS', 0)} did not, {counts.get('SKIPPED', 0)} were not reached.", ""]
+    lines += ["## Reversed by a later probe", "", markdown_table(overturned.orderBy("name")), ""]
+    for verdict, title, text, width in (("WORKS", "Works", "query", 110), ("FAILS", "Does not work", "detail", 130)):
+        lines += [f"## {title}", ""]
+        for name in sorted(n for n, r in rows.items() if r.verdict == verdict):
+            more = short(said[name][text], width) if name in said else ""
+            lines.append(f"- **{name}** ({rows[name].probe})" + (f": `{more}`" if more else ""))
+        lines.append("")
+    return "\n".join([*lines, "## Not reached", "", ", ".join(f"`{n}`" for n in skipped) or "none", ""])
+
+
 def inspector(records: DataFrame, title: str = "Inspector", most: int = 100_000) -> str:
     """One HTML page over at most ``most`` records, with filters by kind and category; a larger frame is an error."""
     rows = records.take(most + 1)

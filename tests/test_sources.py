@@ -116,3 +116,27 @@ def test_reports(spark, tmp_path):
     reports.append_log(spark.range(3), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 5
     assert answering.NO_MODEL
+
+
+def test_capability_page(spark):
+    rows = [
+        (0, "one", "create", "FAILS", "no id", "", ""), (0, "one", "union", "WORKS", "", "", ""), (1, "two", "create", "WORKS", "", "CREATE  (a {id: 1})", ""),
+        (1, "two", "ssp", "SKIPPED", "", "", ""), (1, "two", "in", "FAILS", "rejected\nhere", "", ""),
+    ]
+    checks = spark.createDataFrame(rows, "place int, probe string, name string, verdict string, detail string, query string, note string")
+    page = reports.capability_page(checks, logs.latest_verdicts(checks), logs.overturned(checks, "one"))
+    assert "5 checks in 2 probes: 2 worked, 2 did not, 1 were not reached." in page
+    assert "| create | FAILS | WORKS |" in page
+    assert "- **create** (two): `CREATE (a {id: 1})`" in page
+    assert "- **in** (two): `rejected here`" in page
+    assert page.rstrip().endswith("`ssp`")
+
+
+def test_a_folder_of_arrays_and_a_file_that_is_none(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for i in range(2):
+        (tmp_path / "d" / f"{i}.json").write_text('\n [{"question_id": "q%d"}]' % i)
+    assert dataset.read(spark, str(tmp_path / "d")).count() == 2
+    (tmp_path / "x.json").write_text('{"a": 1}')
+    with pytest.raises(ValueError):
+        dataset.read(spark, str(tmp_path / "x.json"))
