@@ -14,15 +14,18 @@ RAW = (
 )
 
 
-def first_character(spark: SparkSession, path: str) -> str:
-    """The first character of a file, or of the first file of a folder, that is no blank; empty if there is none. Reads no more than that."""
+def first_character(spark: SparkSession, path: str) -> str | None:
+    """The first character of a file, or of the first file of a folder, that is no blank; empty if there is none. Reads no more than that.
+
+    None for a folder without any file that has content.
+    """
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.getFileStatus(p).isDirectory():
-        files = sorted(s.getPath().toString() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", ".")))
+        files = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getLen() and not s.getPath().getName().startswith(("_", ".")))
         if not files:
-            return ""
+            return None
         p = jvm.org.apache.hadoop.fs.Path(files[0])
     stream = fs.open(p)
     try:
@@ -37,9 +40,10 @@ def first_character(spark: SparkSession, path: str) -> str:
 def read(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Raw instances with file_order. A file must be one JSON array; ``limit`` takes the first ones, it does not sample.
 
-    One file is parsed by one task, record by record; a folder of several such files is read in parallel.
+    One file is parsed by one task, record by record; a folder of several such files is read in
+    parallel, and one without content holds no instances.
     """
-    if first_character(spark, path) != "[":
+    if first_character(spark, path) not in ("[", None):
         raise ValueError("the file holds no JSON array")
     rows = spark.read.schema(RAW).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("file_order", F.monotonically_increasing_id())
     return rows if limit is None else rows.orderBy("file_order").limit(limit)
