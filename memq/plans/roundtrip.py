@@ -15,6 +15,8 @@ from memq.sources import dataset, graph, logs, reports
 from memq.streaming import logs as streams
 
 NO_SUCH = "no such claim"
+#: Instances of one nested file, each of which is read by one task.
+PER_FILE = 200
 
 
 def _lines(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -33,7 +35,8 @@ def dataset_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     raw = i.join(nested, "question_id").select(
         "question_id", "question_type", "question", "answer", "question_date", "haystack_dates", "haystack_session_ids", "haystack_sessions", "answer_session_ids"
     )
-    files = raw.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(8))).agg(F.to_json(F.collect_list(F.struct(*raw.columns))).alias("value")).select("value")
+    parts = -(-i.count() // PER_FILE) or 1
+    files = raw.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(parts))).agg(F.to_json(F.collect_list(F.struct(*raw.columns))).alias("value")).select("value")
     path = session.scratch(spark)
     files.write.option("maxRecordsPerFile", 1).text(path)  # a file is one array
     each = dataset.instances(dataset.read(spark, path)).select("question_id", "is_abstention", F.posexplode("sessions").alias("nth", "s"))
