@@ -7,6 +7,7 @@ from memq.plans import registry
 
 SEARCHES = [
     "answer_record",
+    "bm25_sessions",
 ]
 
 
