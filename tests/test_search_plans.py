@@ -8,6 +8,7 @@ from memq.plans import registry
 SEARCHES = [
     "answer_record",
     "bm25_sessions",
+    "gather_report",
 ]
 
 
