@@ -9,6 +9,7 @@ SEARCHES = [
     "answer_record",
     "bm25_sessions",
     "gather_report",
+    "answer_status",
 ]
 
 
