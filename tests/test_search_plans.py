@@ -10,6 +10,7 @@ SEARCHES = [
     "bm25_sessions",
     "gather_report",
     "answer_status",
+    "bm25_terms",
 ]
 
 
