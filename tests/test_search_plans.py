@@ -11,6 +11,7 @@ SEARCHES = [
     "gather_report",
     "answer_status",
     "bm25_terms",
+    "gather_sessions",
 ]
 
 
