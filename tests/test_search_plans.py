@@ -12,6 +12,7 @@ SEARCHES = [
     "answer_status",
     "bm25_terms",
     "gather_sessions",
+    "evidence_items",
 ]
 
 
