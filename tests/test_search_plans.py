@@ -13,6 +13,7 @@ SEARCHES = [
     "bm25_terms",
     "gather_sessions",
     "evidence_items",
+    "gather_asof",
 ]
 
 
