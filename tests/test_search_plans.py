@@ -14,6 +14,7 @@ SEARCHES = [
     "gather_sessions",
     "evidence_items",
     "gather_asof",
+    "gather_terms",
 ]
 
 
