@@ -15,6 +15,7 @@ SEARCHES = [
     "evidence_items",
     "gather_asof",
     "gather_terms",
+    "rendered_evidence",
 ]
 
 
