@@ -2,7 +2,7 @@
 
 import pytest
 
-from memq.operators import gate, leading
+from memq.operators import answering, chains, gate, leading
 from memq.plans import registry
 
 SEARCHES = [
@@ -35,3 +35,12 @@ def test_search_does_not_list_all_pairs(spark, small, monkeypatch, name):
     monkeypatch.setattr(gate, "contributions", all_pairs)
     with pytest.raises(Searched):
         registry.QUERIES[name](spark, small)
+
+
+def test_gather_terms_makes_no_evidence(spark, small, monkeypatch):
+    def evidence(*_, **__):
+        raise AssertionError("turns or replaced claims are read")
+
+    monkeypatch.setattr(answering, "evidence_items", evidence)
+    monkeypatch.setattr(chains, "supersedes", evidence)
+    assert registry.QUERIES["gather_terms"](spark, small).columns == ["q", "hits", "kept", "terms"]
