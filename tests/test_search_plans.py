@@ -44,3 +44,12 @@ def test_gather_terms_makes_no_evidence(spark, small, monkeypatch):
     monkeypatch.setattr(answering, "evidence_items", evidence)
     monkeypatch.setattr(chains, "supersedes", evidence)
     assert registry.QUERIES["gather_terms"](spark, small).columns == ["q", "hits", "kept", "terms"]
+
+
+def test_gather_sessions_takes_every_question(spark, small, tmp_path):
+    (tmp_path / "claims.parquet").symlink_to(f"{small}/claims.parquet")
+    ids = ["00000001", "00000032", "gpt4_no_number", None]
+    asked = [(i, "What does the user like?", 2_000_000_000) for i in ids]
+    spark.createDataFrame(asked, "question_id string, question string, asked_at bigint").write.parquet(f"{tmp_path}/instances.parquet")
+    found = [(r.q, r.n) for r in registry.QUERIES["gather_sessions"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == [(q, n) for q in sorted(ids[:3]) for n in range(1, 7)]
